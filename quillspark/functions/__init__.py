@@ -1,0 +1 @@
+"""functions of the batch document question-answering engine."""

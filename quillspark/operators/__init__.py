@@ -1,0 +1 @@
+"""operators of the batch document question-answering engine."""

@@ -1,0 +1 @@
+"""plans of the batch document question-answering engine."""

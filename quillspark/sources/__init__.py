@@ -1,0 +1 @@
+"""sources of the batch document question-answering engine."""

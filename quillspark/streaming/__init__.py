@@ -1,0 +1 @@
+"""streaming of the batch document question-answering engine."""
