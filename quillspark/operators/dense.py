@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_normalize, py_tokenize
+from ..session import is_small
 from .sparse import top_k
 
 DIMENSION = 512
@@ -102,7 +103,8 @@ def cosine_top_k(
     kind, qkind = (d.schema[c].dataType.simpleString() for d, c in ((vectors, key), (queries, qid)))
     # Query vectors are fetched block by block; the driver never holds more than one.
     out = None
-    source = queries.select(F.col(qid).alias("q"), F.col(qvec).cast("array<float>").alias("v")).where(F.col("v").isNotNull())
+    source = queries.select(F.col(qid).alias("q"), F.col(qvec).cast("array<float>").alias("v"))
+    source = source.where(F.col("v").isNotNull()).persist()
     pending: list = []
 
     def one_pass(rows: list) -> DataFrame:
@@ -128,7 +130,7 @@ def cosine_top_k(
         rows_in = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<float>").alias("v")).where(F.col("v").isNotNull())
         return rows_in.sortWithinPartitions("k").mapInPandas(run, f"q {qkind}, k {kind}, score double")
 
-    for row in source.toLocalIterator():
+    for row in source.collect() if is_small(source, block) else source.toLocalIterator():
         pending.append(row)
         if len(pending) == block:
             out = one_pass(pending) if out is None else out.unionByName(one_pass(pending))

@@ -63,7 +63,9 @@ def answer(
         min_sources=c["min_sources"], require_citations=c["require_citations"],
         max_chars_per_source=g["max_chars_per_source"], max_context_chars=g["max_context_chars"],
     )
-    ranked = rank(corpus, questions, retrieve(corpus, questions, config, doc_ids), config, top_n)
+    questions = questions.persist()
+    candidates = retrieve(corpus, questions, config, doc_ids).persist()  # a few rows per question, read by several stages
+    ranked = rank(corpus, questions, candidates, config, top_n).persist()
     return answering.answer_questions(questions, ranked, corpus.index, gates, generator)
 
 
