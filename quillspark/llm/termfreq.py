@@ -32,9 +32,11 @@ def numbered(df: DataFrame, record_id: str) -> DataFrame:
     return df.withColumn("record_no", F.monotonically_increasing_id())
 
 
-def encode(positions: Column) -> Column:
-    """Container of a set of positions: ``runs`` (start, length pairs) where shorter, else the list."""
-    ordered = F.sort_array(positions)
+def encode(ordered: Column) -> Column:
+    """Container of sorted positions: ``runs`` (start, length pairs) where shorter, else the list.
+
+    ``ordered`` must be a plain column: the lambdas look into it for every element.
+    """
     starts = F.filter(ordered, lambda x, i: (i == 0) | (F.element_at(ordered, F.greatest(i, F.lit(1))) != x - 1))
     ends = F.filter(
         ordered,
@@ -71,7 +73,7 @@ def term_containers(df: DataFrame, record_id: str, text: str) -> DataFrame:
     )
     return (
         terms.groupBy("term", "block")
-        .agg(F.collect_set("pos").alias("_set"), F.count(F.lit(1)).alias("occurrences"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("_set"), F.count(F.lit(1)).alias("occurrences"))
         .select("term", "block", encode(F.col("_set")).alias("container"), "occurrences")
     )
 
