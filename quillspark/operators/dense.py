@@ -45,8 +45,9 @@ def hash_vector(text: str | None, dimension: int = DIMENSION) -> np.ndarray:
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows of unit length, in the precision given; zero rows stay."""
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return (matrix / np.where(norm == 0, 1, norm)).astype(np.float32)
+    return matrix / np.where(norm == 0, 1, norm)
 
 
 class HashingEmbedder:
@@ -65,7 +66,7 @@ class HashingEmbedder:
         if not texts:
             return np.zeros((0, self.dimension), np.float32)
         matrix = np.vstack([hash_vector(t, self.dimension) for t in texts])
-        return unit(matrix) if self.normalise else matrix
+        return unit(matrix).astype(np.float32) if self.normalise else matrix
 
 
 def embed_texts(df: DataFrame, key: str, text: Column, embedder=None) -> DataFrame:
@@ -109,14 +110,14 @@ def cosine_top_k(
 
     def one_pass(rows: list) -> DataFrame:
         ids = np.array([r["q"] for r in rows], dtype=object)
-        matrix = unit(np.array([r["v"] for r in rows], np.float32))
+        matrix = unit(np.array([r["v"] for r in rows], np.float64))
         shared = spark.sparkContext.broadcast((ids, matrix))  # at most ``block`` vectors
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, q = shared.value
             live = np.linalg.norm(q, axis=1) > 0
             for pdf in batches:
-                s = (q @ unit(np.vstack(pdf["v"].to_numpy())).T).astype(np.float64)
+                s = q @ unit(np.vstack(pdf["v"].to_numpy()).astype(np.float64)).T
                 keep = min(k, s.shape[1])
                 if keep <= 0:
                     continue
