@@ -278,3 +278,21 @@ def test_entry_without_llm(spark, monkeypatch):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     monkeypatch.setattr(entry, "_llm", lambda: None)
     assert not [k for k in entry.queries() if k.startswith("p")and k[1].isdigit()]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillspark.__main__ import main
+
+    assert main(["prompts"]) == 0
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# Fees\n\nThe dispute fee is 15.00 per case and refunds are free.\n\n# Other\n\nTeal is the colour of buttons.")
+    (tmp_path / "docs" / "b.md").write_text("# Payouts\n\nPayouts are settled every Friday to the bank account on file.")
+    (tmp_path / "docs" / "c.txt").write_text("Sprockets turn slowly in winter months.")
+    (tmp_path / "q.jsonl").write_text('{"qid": "1", "question": "What is the dispute fee per case?"}\n')
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    assert main(["answer", store, str(tmp_path / "q.jsonl"), out]) == 2
+    assert main(["ingest", str(tmp_path / "docs"), store, "--no-pdf"]) == 0
+    assert main(["stats", store]) == 0 and '"documents": 3' in capsys.readouterr().out
+    assert main(["answer", store, str(tmp_path / "q.jsonl"), out]) == 0
+    assert "15.00" in spark.read.parquet(out).first().text
+    assert main(["answer", store, str(tmp_path / "q.jsonl"), out, "--doc-id", "nobody"]) == 2
