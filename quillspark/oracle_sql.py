@@ -77,6 +77,11 @@ FROM ({O.ITEMS}) WHERE question IS NOT NULL"""
 ORACLES["marker_extract"] = f"""
 SELECT result_id, coalesce(array_to_string(list_transform(regexp_extract_all(answer, '(?i)\\[\\s*S(\\d+)\\s*\\]', 1), lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ','), '') AS markers,
   regexp_replace(answer, '(?i)\\[\\s*S(\\d+)\\s*\\]', '', 'g') AS prose FROM ({O.RESULTS}) WHERE answer IS NOT NULL"""
+_SPAN = "CASE WHEN starts_with(x, '**') THEN 'bold:' || substr(x, 3, length(x) - 4) WHEN starts_with(x, '`') THEN 'code:' || substr(x, 2, length(x) - 2) ELSE 'marker:' || substr(x, 2, length(x) - 2) END"
+ORACLES["rich_text_tokens"] = f"""
+SELECT result_id, coalesce(array_to_string(flatten(list_transform(regexp_extract_all(answer, '\\*\\*.+?\\*\\*|`[^`]+`|\\[S\\d+\\]'), lambda x:
+  CASE WHEN starts_with(x, '**') THEN list_concat([{_SPAN}], list_transform(regexp_extract_all(x, '`[^`]+`|\\[S\\d+\\]'), lambda x: {_SPAN})) ELSE [{_SPAN}] END)), '|'), '') AS spans
+FROM ({O.RESULTS}) WHERE answer IS NOT NULL"""
 ORACLES["display_formats"] = f"""
 WITH d AS (SELECT doc_id, source, CAST(length(coalesce(text, '')) AS BIGINT) * 977 AS b FROM ({O.DOCS}))
 SELECT doc_id, regexp_extract(source, '[^/\\\\]*$') AS basename, b AS n_bytes,

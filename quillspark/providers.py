@@ -47,9 +47,20 @@ class PromptedGenerator:
         return Generated(text, used, made, self.model)
 
 
+class FunctionReranker:
+    """A pair scorer ``score(query, passage) -> float``, in batches of ``batch_size`` pairs."""
+
+    def __init__(self, score_pairs: Callable[[list[tuple[str, str]]], list[float]], batch_size: int = 16) -> None:
+        self.score_pairs, self.batch_size = score_pairs, batch_size
+
+    def score(self, queries: list[str], passages: list[str]) -> list[float]:
+        pairs = list(zip(queries, passages, strict=True))
+        return [s for i in range(0, len(pairs), self.batch_size) for s in self.score_pairs(pairs[i : i + self.batch_size])]
+
+
 EMBEDDERS: dict[str, Callable] = {"hashing": HashingEmbedder}
 GENERATORS: dict[str, Callable] = {"extractive": ExtractiveGenerator}
-RERANKERS: dict[str, Callable] = {}
+RERANKERS: dict[str, Callable] = {"function": FunctionReranker}
 
 
 def create(registry: dict[str, Callable], name: str, **options):

@@ -197,6 +197,12 @@ def marker_extract(spark, sf):
     )
 
 
+@query
+def rich_text_tokens(spark, sf):
+    rows = _results(spark, sf).where(F.col("answer").isNotNull())
+    return rows.select("result_id", F.array_join(T.rich_text(F.col("answer")), "|").alias("spans"))
+
+
 @query
 def claims_by_marker(spark, sf):
     @F.pandas_udf("map<string,string>")

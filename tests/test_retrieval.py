@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import answering as A
 from quillspark.operators import dense, fusion, rerank, sparse
 from quillspark.plans import pipeline
-from quillspark.providers import EMBEDDERS, PromptedGenerator, create
+from quillspark.providers import EMBEDDERS, RERANKERS, PromptedGenerator, create
 from quillspark.prompts import ANSWER
 
 
@@ -202,6 +202,16 @@ def test_end_to_end(spark, chunks):
     assert all(c.chunk_id in ("c4", "c5") for r in scoped.values() for c in r.citations)
 
 
+def test_model_reranker(spark, chunks):
+    q = ask(spark, "a", "bb")
+    cand = q.select("qid").crossJoin(chunks.where("text is not null").withColumn("fused_rank", F.lit(1)))
+    scorer = create(RERANKERS, "function", score_pairs=lambda pairs: [len(p) * len(x) for x, p in pairs], batch_size=3)
+    got = rerank.model_rerank(cand, q, scorer).collect()
+    assert len(got) == 8
+    for r in got:
+        assert r.rerank_score == len(f"{r.section}\n{r.text}") * (1 if r.qid == "q0" else 2)
+
+
 def test_prompted_generator(spark, index):
     gen = PromptedGenerator(lambda system, user: ("The dispute fee is 15.00. [S1]", 7, 3), ANSWER)
     row = A.answer_questions(ask(spark, "What is the dispute fee?"), ranked(spark), index, generator=gen).first()
