@@ -127,7 +127,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sized = _sized(spark, sf)
+    sized = mixture.cut_lineage(_sized(spark, sf))  # texts are encoded once; three columns are kept
     plan = mixture.cut_lineage(mixture.mixture_plan(sized, read(spark, sf, "mix_targets")))
     return mixture.mixture(sized, plan), plan
 
