@@ -491,10 +491,9 @@ def render_context(spark, sf):
 def grounding(spark, sf):
     """Support of each stored answer in the chunks its question's citations name."""
     cited = _quotes(spark, sf).groupBy("qid").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("support"))
+    known = cited.select("qid", F.array_distinct(T.lexical_tokens(F.col("support"))).alias("r"))  # once a question, not an answer
     answers = _results(spark, sf).where(F.col("answer").isNotNull() & ~F.col("abstained")).select(F.col("id").alias("qid"), "answer").distinct()
-    rows = answers.join(cited, "qid").select(
-        "qid", "answer", T.lexical_tokens(T.without_markers(F.col("answer"))).alias("c"), T.lexical_tokens(F.col("support")).alias("r")
-    )
+    rows = answers.join(known, "qid").select("qid", "answer", "r", T.lexical_tokens(T.without_markers(F.col("answer"))).alias("c"))
     return rows.select("qid", "answer", F.round(evaluation.overlap_ratio(F.col("c"), F.col("r")), 6).alias("grounding"))
 
 
