@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,27 @@ def build_session(master: str = "local[8]", app: str = "quillspark", **conf: str
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in {**TUNING, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers once per context, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_quill_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="quill-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(path))  # Spark copies it to every executor
+    context._quill_shipped = True
 
 
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{base}/{table}.parquet")
 
 
