@@ -7,8 +7,10 @@ at all.  Section titles and addresses carry no subject here, so after a first fi
 lend theirs: a bounded sample, chosen by hash, is scored, and the sentences of documents with
 one leading subject join the training rows, which teaches words no example has.
 
-Bounds, all parameters: ``max_examples`` labelled rows and ``sample_documents`` documents of
-at most ``sample_sentences`` sentences are used for fitting; every document is scored in whole.
+Bounds: ``max_examples`` labelled rows and ``sample_documents`` documents with SAMPLE_SENTENCES
+sentences each, drawn by hash from the whole text, are used for fitting; every document is scored
+in whole. The cut-offs come from a histogram of the scores of all sentences of all documents;
+only those that choose the lending documents between the rounds come from the sample.
 
 NULL and blank texts have no subject. Damaged text is mended as far as it goes (mojibake,
 accents, case, widths, invisible characters) before features are taken.
@@ -16,6 +18,7 @@ accents, case, widths, invisible characters) before features are taken.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -38,6 +41,8 @@ SAMPLE_DOCUMENTS = 5_000  # and half as many each of texts without English words
 SAMPLE_SENTENCES = 16
 ROUNDS = 3
 LEAD = 0.3  # a document lends its leading subject if that has such a share of its sentences
+BIN = 1 / 256  # width of a score bin of the calibration
+BINS = 2 * 64 * 256  # from -64 to 64; the bins at the ends count what lies beyond
 LEAST_COUNT = 4  # rarer features (names, numbers) are not learned
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -174,31 +179,53 @@ def fit(
     return Model(subjects, slots, w, b, np.zeros(k))
 
 
-def valley(scores: np.ndarray) -> float:
-    """The emptiest score between the two humps (no subject, some subject)."""
-    if len(scores) < 50:
-        return float(np.median(scores)) if len(scores) else 0.0
-    lo, hi = np.quantile(scores, [0.01, 0.99])
-    counts, edges = np.histogram(scores, 60, range=(lo, max(hi, lo + 1e-6)))
-    counts = np.convolve(counts, np.ones(5) / 5, "same")
+def drawn(units: list[str], key: str, most: int = SAMPLE_SENTENCES) -> list[str]:
+    """At most ``most`` sentences, in order, chosen by hash from all of the text."""
+    if len(units) <= most:
+        return units
+    order = sorted(range(len(units)), key=lambda i: hashlib.blake2b(f"{key} {i}".encode(), digest_size=8).digest())
+    return [units[i] for i in sorted(order[:most])]
+
+
+def score_counts(model: Model, rows: list[list[int]]) -> Counter:
+    """How many sentences have their best score in each bin; keys are subject * BINS + bin."""
+    if not rows or not model.subjects:
+        return Counter()
+    scores = model.matrix(rows)
+    at = np.clip(np.floor(scores.max(axis=1) / BIN).astype(np.int64) + BINS // 2, 0, BINS - 1)
+    keys, n = np.unique(scores.argmax(axis=1) * BINS + at, return_counts=True)
+    return Counter(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+
+
+def valley(at: np.ndarray, n: np.ndarray) -> float:
+    """The emptiest score between the two humps (no subject, some subject) of the counts ``n`` in the bins ``at``."""
+    ends = (np.arange(BINS + 1) - BINS // 2) * BIN
+    below = np.r_[0, np.cumsum(np.bincount(at, n, minlength=BINS))]
+    bin_of = lambda q: max(0, int(np.searchsorted(below, q * below[-1])) - 1)
+    if below[-1] < 50:
+        return float(ends[bin_of(0.5)]) + BIN / 2 if below[-1] else 0.0
+    lo, hi = ends[bin_of(0.01)], ends[bin_of(0.99) + 1]
+    edges = np.linspace(lo, hi, 61)
+    counts = np.convolve(np.diff(np.interp(edges, ends, below)), np.ones(5) / 5, "same")
     left = int(counts[:25].argmax())
     right = left + 8 + int(counts[left + 8 :].argmax())
     k = left + int(counts[left:right].argmin())
     return float(edges[k] + edges[k + 1]) / 2
 
 
-def calibrate(model: Model, rows: list[list[int]], least: int = 300, drift: float = 0.7) -> None:
+def calibrate(model: Model, counted: Counter, least: int = 300, drift: float = 0.7) -> None:
     """Cut-off of each subject: the valley of the scores it wins, near the common valley."""
-    if not rows:
+    if not counted:
         return
-    scores = model.matrix(rows)
-    best, top = scores.argmax(axis=1), scores.max(axis=1)
-    common = valley(top)
+    keys = np.array(sorted(counted))
+    n = np.array([counted[x] for x in keys.tolist()])
+    best, at = np.divmod(keys, BINS)
+    common = valley(at, n)
     model.cutoff = np.full(len(model.subjects), common)
     for j in range(len(model.subjects)):
-        own = top[best == j]
-        if len(own) >= least:
-            model.cutoff[j] = np.clip(valley(own), common - drift, common + drift)
+        own = best == j
+        if n[own].sum() >= least:
+            model.cutoff[j] = np.clip(valley(at[own], n[own]), common - drift, common + drift)
 
 
 def train(examples: list[tuple[str, list[list[int]]]], sample: list[list[list[int]]], rounds: int = ROUNDS) -> Model:
@@ -208,7 +235,7 @@ def train(examples: list[tuple[str, list[list[int]]]], sample: list[list[list[in
     labels = [subjects.index(s) for s, fs in examples for f in fs if f]
     model = fit(rows, labels, subjects, 2, epochs=40, l2=1e-1)
     sample = [[f for f in fs if f] for fs in sample]
-    calibrate(model, rows if not sample else [f for fs in sample for f in fs])
+    calibrate(model, score_counts(model, rows if not sample else [f for fs in sample for f in fs]))
     for turn in range(rounds if sample else 0):
         more, lent = list(rows) * 3, list(labels) * 3
         for fs in sample:
@@ -227,10 +254,27 @@ def train(examples: list[tuple[str, list[list[int]]]], sample: list[list[list[in
                 more += fs
                 lent += [int(score.argmax())] * len(fs)
         model = fit(more, lent, subjects, LEAST_COUNT)
-        calibrate(model, [f for fs in sample for f in fs])
+        calibrate(model, score_counts(model, [f for fs in sample for f in fs]))
     return model
 
 
+def count_scores(docs: DataFrame, model: Model, text: str = "text") -> Counter:
+    """``score_counts`` of all sentences of all documents; the driver gets at most BINS counts a subject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted: Counter = Counter()
+        for pdf in batches:
+            rows = [f for xs in sentences_of_batch(pdf["t"].tolist()) for f in map(features, xs) if f]
+            counted.update(score_counts(shared.value, rows))
+        yield pd.DataFrame({"key": list(counted), "n": list(counted.values())}, dtype="int64")
+
+    texts = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull())
+    rows = texts.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    shared.unpersist()
+    return Counter({r["key"]: r["n"] for r in rows})
+
+
 def _hash_sample(docs: DataFrame, doc_id: str, most: int) -> DataFrame:
     """About ``most`` rows, the same ones whenever it runs; never more than twice that."""
     n = max(1, docs.count())
@@ -242,7 +286,7 @@ def fit_subjects(
     docs: DataFrame, examples: DataFrame, doc_id: str = "doc_id", text: str = "text",
     max_examples: int = MAX_EXAMPLES, sample_documents: int = SAMPLE_DOCUMENTS,
 ) -> Model:
-    """The model; what reaches the driver is bounded by the parameters.
+    """The model, its cut-offs calibrated on all of ``docs``; what reaches the driver is bounded by the parameters.
 
     Examples with NULL subject or text are left out. Without examples there are no subjects.
     """
@@ -255,7 +299,8 @@ def fit_subjects(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [[features(s) for s in xs[:SAMPLE_SENTENCES]] for xs in sentences_of_batch(pdf["t"].tolist())]
+            split = zip(pdf["d"], sentences_of_batch(pdf["t"].tolist()), strict=True)
+            found = [[features(s) for s in drawn(xs, str(d))] for d, xs in split]
             yield pd.DataFrame({"d": pdf["d"], "f": found})
 
     texts = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t")).where(F.length("t") > 40)
@@ -269,7 +314,9 @@ def fit_subjects(
     ):
         rows = _hash_sample(part, "d", most).mapInPandas(run, "d string, f array<array<int>>").collect()
         sample += [[list(f) for f in r["f"]] for r in sorted(rows, key=lambda r: r["d"])]
-    return train(known, sample)
+    model = train(known, sample)
+    calibrate(model, count_scores(docs, model, text))
+    return model
 
 
 def subject_shares(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

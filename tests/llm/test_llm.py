@@ -391,6 +391,30 @@ def test_subjects_held_out(spark):
     assert subjects.document_subjects(ddf, subjects.fit_subjects(ddf, edf.limit(0))).count() == 0
 
 
+def test_sampled_sentences_come_from_the_whole_text():
+    units = [f"s{i}" for i in range(200)]
+    got = [subjects.drawn(units, str(d)) for d in range(50)]
+    assert all(len(set(x)) == subjects.SAMPLE_SENTENCES and x == sorted(x, key=units.index) for x in got)
+    assert {u for x in got for u in x} & set(units[150:]) and subjects.drawn(units[:9], "d") == units[:9]
+    assert got == [subjects.drawn(units, str(d)) for d in range(50)]
+
+
+def test_cutoffs_count_every_sentence(spark):
+    rng = random.Random(4)
+    examples = [(f, " ".join(make(rng, f, 3) + make(rng, None, 1))) for f in FIELDS for _ in range(30)]
+    # What lies beyond the sampled number of sentences decides the cut-offs as well.
+    docs = [(i, " ".join(make(rng, rng.choice([None, "law", "sport"]), 40 + i % 30))) for i in range(80)] + [(99, None)]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = subjects.fit_subjects(ddf, spark.createDataFrame(examples, "subject string, text string"))
+    rows = [f for _, t in docs for f in map(subjects.features, subjects.sentences_of(t)) if f]
+    counted = subjects.count_scores(ddf, model)
+    assert sum(counted.values()) == len(rows) == sum(40 + i % 30 for i in range(80))
+    assert counted == subjects.score_counts(model, rows)
+    cutoff = model.cutoff
+    subjects.calibrate(model, counted)
+    assert list(cutoff) == list(model.cutoff)
+
+
 def test_damaged_text_folds_alike():
     assert subjects.fold("BÃ©twÃ©Ã©n") == subjects.fold("between") == subjects.fold("bétwéén")
     assert subjects.fold("ＲＥＦＥＲＥＮＣＩＡ") == "referencia"
