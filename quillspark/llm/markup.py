@@ -147,6 +147,8 @@ _TAG_LINE = re.compile(
     re.I,
 )
 _DEFINITION = re.compile(r"^ {0,3}\[[^\]]+\]:\s*\S+")
+_CELL = re.compile(r"(?:\\.|[^|\\]|\\$)+")
+_RULED = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 _MATH_OPEN = re.compile(r"^\s*(\$\$|\\\[|\\begin\{(" + "|".join(MATH_ENVIRONMENTS) + r")\*?\})")
 _MD = re.compile(
     r"(?P<tick>`+)(?!`)(?P<code>.+?)(?<!`)(?P=tick)(?!`)"
@@ -218,6 +220,17 @@ def _math_block(lines: list[str], i: int) -> tuple[Node, int] | None:
     return None
 
 
+def _table_markdown(lines: list[str]) -> Node:
+    """Rows and cells of lines that start with a bar; the row of dashes under the head holds no text."""
+    table = Node("table")
+    for k, line in enumerate(lines):
+        if _RULED.match(line) and (k == 1 or k == 0 and "---" in line):
+            continue
+        cells = [c.replace(r"\|", "|").strip() for c in _CELL.findall(line.strip())]
+        table.parts.append(Node("tr", [Node("td", _inline_markdown(c)) for c in cells if c]))
+    return table
+
+
 def parse_markdown(text: str) -> Node:
     body = Node("body")
     lines = _FRONT.sub("", text, count=1).split("\n")
@@ -318,7 +331,14 @@ def parse_markdown(text: str) -> Node:
             body.parts.append(Node("blockquote", parse_markdown("\n".join(quoted)).parts))
             in_list = False
             continue
-        if not paragraph and (line.lstrip().startswith("|") or _DEFINITION.match(line)):
+        if not paragraph and line.lstrip().startswith("|"):
+            start = i
+            while i < len(lines) and lines[i].lstrip().startswith("|"):
+                i += 1
+            body.parts.append(_table_markdown(lines[start:i]))
+            in_list = False
+            continue
+        if not paragraph and _DEFINITION.match(line):
             in_list, i = False, i + 1
             continue
         in_list = False
@@ -333,7 +353,8 @@ def parse_markdown(text: str) -> Node:
 _W_RAW = re.compile(
     r"<(?P<t>syntaxhighlight|source|pre|math|nowiki|ref|script|style)\b(?P<a>[^>]*?)(?:/>|>(?P<b>.*?)</(?P=t)\s*>)", re.S | re.I
 )
-_W_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}|\{\|.*?\n\|\}", re.S)
+_W_TEMPLATE = re.compile(r"\{\{(?:[^{}]|\{\||\|\}(?!\}))*\}\}")  # tables in a template go with it
+_W_TABLE = re.compile(r"^[\s:]*\{\|")
 _W_HEADING = re.compile(r"^(={1,6})\s*(.+?)\s*\1\s*$")
 _W_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 _W_DROP = re.compile(r"\[\[(?:Category|File|Image|Kategorie|Datei|Catégorie|Categoría)\s*:[^\[\]]*(?:\[\[[^\]]*\]\][^\[\]]*)*\]\]", re.I)
@@ -377,30 +398,62 @@ def parse_wiki(text: str) -> Node:
         return out
 
     lines, paragraph, i = text.split("\n"), [], 0
+    stack = [body]  # the body, then the open table, row and cell
 
     def flush() -> None:
         if paragraph:
-            body.parts.append(Node("p", inline("\n".join(paragraph))))
+            stack[-1].parts.append(Node("p", inline("\n".join(paragraph))))
             paragraph.clear()
 
+    def enter(tag: str, inside: str) -> None:
+        """Open a row or cell in the innermost ``inside``."""
+        flush()
+        while stack[-1].tag not in inside.split():
+            stack.pop()
+        stack[-1].parts.append(Node(tag))
+        stack.append(stack[-1].parts[-1])
+
     while i < len(lines):
         line = lines[i]
         heading, item = _W_HEADING.match(line), re.match(r"^([*#:;]*[*#])\s*(.*)$", line)
+        bar = line.strip()[:2] if len(stack) > 1 else ""
         if not line.strip():
             flush()
+        elif _W_TABLE.match(line):
+            enter("table", stack[-1].tag)
+        elif bar == "|}":
+            flush()
+            while stack.pop().tag != "table":
+                pass
+            if rest := line.strip()[2:].strip():
+                paragraph.append(rest)
+        elif bar == "|-":
+            enter("tr", "table")
+        elif bar[:1] in ("|", "!"):
+            row = line.strip()
+            cells = [row[2:]] if bar == "|+" else re.split(r"\|\||!!" if bar[0] == "!" else r"\|\|", row[1:])
+            for cell in cells:
+                if stack[-1].tag == "table":
+                    enter("tr", "table")
+                enter("td", "tr")
+                head, found, rest = cell.partition("|")
+                if found and "[[" not in head and ("=" in head or not head.strip()):
+                    cell = rest  # before the bar stood attributes
+                if cell.strip():
+                    paragraph.append(cell)
         elif heading:
             flush()
-            body.parts.append(Node("h2", inline(heading[2])))
+            stack[-1].parts.append(Node("h2", inline(heading[2])))
         elif item:
             flush()
-            body.parts.append(Node("li", inline(item[2])))
+            stack[-1].parts.append(Node("li", inline(item[2])))
         elif _TAG_LINE.match(line):
             flush()
             start = i
-            while i + 1 < len(lines) and lines[i + 1].strip():
+            while i + 1 < len(lines) and lines[i + 1].strip() and not (len(stack) > 1 and lines[i + 1].strip()[0] in "|!"):
                 i += 1
             block = parse_html("\n".join(lines[start : i + 1]))
-            body.parts.append(_restore(Node("section", block.parts), inline))
+            stack[-1].parts.append(_restore(Node("section", block.parts), inline))
         else:
             paragraph.append(re.sub(r"^[:;]+\s*", "", line))
         i += 1
@@ -428,7 +481,8 @@ _T_MATH = re.compile(
     re.S,
 )
 _T_COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)%[^\n]*")
-_T_DROP = re.compile(r"\\(?:label|cite[a-z]*|ref|eqref|pageref|index|footnote|vspace|hspace|bibliography(?:style)?|input|include)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
+_T_DROP = re.compile(r"\\(?:label|cite[a-z]*|ref|eqref|pageref|index|vspace|hspace|bibliography(?:style)?|input|include)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
+_T_NOTE = re.compile(r"\\footnote(?:text)?(?![A-Za-z])\s*(?:\[[^\]]*\])?\s*(?=\{)")
 _T_LINK = re.compile(r"\\(?:href|hyperref)(?:\[[^\]]*\])?\{[^{}]*\}\{")
 _T_WORDS = {
     "textless": "<", "textgreater": ">", "textbackslash": "\\", "textasciitilde": "~", "textasciicircum": "^",
@@ -496,25 +550,45 @@ def parse_latex(text: str) -> Node:
         heading.pattern + r"|\\item(?![A-Za-z])(?:\[(?P<o>[^\]]*)\])?|\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?|\n[ \t]*\n"
         r"|\\(?:title|author|date)(?=\{)|\\maketitle"
     )
-    at, tag, run = 0, "p", 0
-
-    def flush(end: int) -> None:
-        if text[run:end].strip():
-            body.parts.append(Node(tag, inline(text[run:end])))
-
-    while m := mark.search(text, at):
-        flush(m.start())
-        at = run = m.end()
-        if heading.match(m[0] + "{"):
-            inside, at = _braced(text, m.end())
-            body.parts.append(Node("h2", inline(inside)))
-            tag, run = "p", at
-        elif m[0].startswith((r"\title", r"\author", r"\date")):
-            at = run = _braced(text, m.end())[1]
-            tag = "p"
-        else:
-            tag = "li" if m[0].startswith(r"\item") else "p"
-    flush(len(text))
+    notes: list[str] = []
+
+    def pull(text: str) -> str:
+        """The text with a mark for each footnote; the footnotes are put by."""
+        out, at = [], 0
+        while m := _T_NOTE.search(text, at):
+            inside, end = _braced(text, m.end())
+            notes.append(inside)
+            out += [text[at : m.start()], f"\ue902{len(notes) - 1}\ue903"]
+            at = end
+        return "".join([*out, text[at:]])
+
+    def place(tag: str, span: str) -> None:
+        """A block and after it the footnotes met in it, as blocks of their own."""
+        met = re.findall("\ue902(\\d+)\ue903", span)
+        span = re.sub("\ue902\\d+\ue903", "", span)
+        if span.strip():
+            body.parts.append(Node(tag, inline(span)))
+        for n in met:
+            blocks(notes[int(n)])
+
+    def blocks(text: str) -> None:
+        text = pull(text)
+        at, tag, run = 0, "p", 0
+        while m := mark.search(text, at):
+            place(tag, text[run : m.start()])
+            at = run = m.end()
+            if heading.match(m[0] + "{"):
+                inside, at = _braced(text, m.end())
+                place("h2", inside)
+                tag, run = "p", at
+            elif m[0].startswith((r"\title", r"\author", r"\date")):
+                at = run = _braced(text, m.end())[1]
+                tag = "p"
+            else:
+                tag = "li" if m[0].startswith(r"\item") else "p"
+        place(tag, text[run:])
+
+    blocks(text)
     return body
 
 

@@ -270,6 +270,24 @@ def test_syntax_without_suffix():
     assert markup.syntax_of("Only words here.", None, "html") == "text"
 
 
+TABLES = {
+    "x.md": "# H\n\n| plan | *limit* |\n|---|:-:|\n| a\\|b | $x^2$ |\n| - | `c` |\n\nend\n",
+    "x.wiki": "==H==\n{| class=\"w\"\n|+ cap\n! plan !! limit\n|-\n| style=\"x\" | a&#124;b || [[p|q]] <math>x^2</math>\n* deep\n{|\n| in\n|}\n|}\nend\n",
+    "x.tex": "\\begin{document}\n\\section{H\\footnote{of head}}\n\\begin{itemize}\\item one\\footnote{See \\emph{plan} limit $x^2$.\n\nMore\\footnote{deep}} two\\end{itemize}end\n\\end{document}",
+}
+
+
+@pytest.mark.parametrize("source,lines,found", [
+    ("x.md", ["# H", "plan", "limit", "a|b", "$$x^2$$", "-", "c", "end"], {("heading", "H"), ("formula", "x^2")}),
+    ("x.wiki", ["# H", "cap", "plan", "limit", "a|b", "q $$x^2$$", "- deep", "in", "end"], {("heading", "H"), ("formula", "x^2"), ("list_item", "deep")}),
+    ("x.tex", ["# H", "of head", "- one two", "See plan limit $$x^2$$.", "More", "deep", "end"], {("heading", "H"), ("formula", "x^2"), ("list_item", "one two")}),
+])
+def test_tables_and_footnotes_are_kept(source, lines, found):
+    tree = markup.read_document(TABLES[source], source, None)[1]
+    assert set(markup.elements(tree)) == found
+    assert markup.clean_text(tree).split("\n") == lines
+
+
 def test_markup_tables(odd):
     assert markup.markup_elements(odd, "id", "text", None, None).where("doc_id in ('d0','d1','d2')").count() == 0
     for suffix in ("md", "html", "wiki", "tex"):
