@@ -167,10 +167,12 @@ _STRIKE = re.compile(r"~~(?=\S)(.+?)(?<=\S)~~", re.S)
 def _inline_markdown(text: str) -> list:
     """Text and formula nodes of a Markdown span; marks are gone, escapes resolved."""
     kept: list = []
+    free = (c for c in map(chr, range(0xE900, 0x110000)) if c not in text)
+    first, last = next(free), next(free)  # marks that the text doesn't have
 
     def keep(value) -> str:
         kept.append(value)
-        return chr(0xE000 + len(kept) - 1) if len(kept) <= 6000 else ""
+        return f"{first}{len(kept) - 1}{last}"
 
     def token(m: re.Match) -> str:
         if m["code"] is not None:
@@ -193,30 +195,38 @@ def _inline_markdown(text: str) -> list:
     for pattern, group in ((_STRONG, 2), (_STRONG, 2), (_STRONG, 2), (_UNDER, 2), (_UNDER, 2), (_STRIKE, 1)):
         out = pattern.sub(lambda m, g=group: m[g], out)
     parts: list = []
-    for piece in re.split("([\ue000-\uf7ff])", html.unescape(out)):
-        if len(piece) == 1 and 0 <= ord(piece) - 0xE000 < len(kept):
-            parts.append(kept[ord(piece) - 0xE000])
+    for k, piece in enumerate(re.split(f"{first}(\\d+){last}", out)):
+        if k % 2:
+            parts.append(kept[int(piece)])
         elif piece:
-            parts.append(piece)
+            parts.append(html.unescape(piece))
     return parts
 
 
-def _math_block(lines: list[str], i: int) -> tuple[Node, int] | None:
-    """A displayed formula starting at line ``i``; None if it never closes."""
+def _math_block(lines: list[str], i: int, open_ended: set[str]) -> tuple[Node, int] | None:
+    """A displayed formula starting at line ``i``; None if it never closes.
+
+    ``open_ended`` keeps the closing marks of which none follows any more.
+    """
     m = _MATH_OPEN.match(lines[i])
     if not m:
         return None
     close = {"$$": "$$", r"\[": r"\]"}.get(m[1]) or m[1].replace(r"\begin", r"\end")
     rest = lines[i][m.end() :]
     body: list[str] = []
-    for k in range(i, min(len(lines), i + 400)):
+    if close in open_ended:
+        return None
+    for k in range(i, len(lines)):
         line = rest if k == i else lines[k]
         if k > i and not line.strip() and close == "$$":
             return None
+        if k > i and close != "$$" and line.lstrip().startswith(m[1]):
+            return None  # opened anew: the first one has no end
         at = line.find(close)
         if at >= 0:
             return Node("math", ["\n".join([*body, line[:at]])]), k + 1
         body.append(line)
+    open_ended.add(close)
     return None
 
 
@@ -235,6 +245,7 @@ def parse_markdown(text: str) -> Node:
     body = Node("body")
     lines = _FRONT.sub("", text, count=1).split("\n")
     paragraph: list[str] = []
+    open_ended: set[str] = set()
     in_list = False
 
     def flush(tag: str = "p") -> None:
@@ -289,7 +300,7 @@ def parse_markdown(text: str) -> Node:
             flush()
             in_list, i = False, i + 1
             continue
-        math_block = _math_block(lines, i) if not paragraph else None
+        math_block = _math_block(lines, i, open_ended) if not paragraph else None
         if math_block:
             node, i = math_block
             body.parts.append(node)

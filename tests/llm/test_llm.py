@@ -288,6 +288,17 @@ def test_tables_and_footnotes_are_kept(source, lines, found):
     assert markup.clean_text(tree).split("\n") == lines
 
 
+def test_long_spans_and_formulas_are_whole():
+    tree = markup.parse_markdown(" ".join(f"`c{i}` $x_{{{i}}}$ \\* \ue900{i}\ue901" for i in range(4000)))
+    assert [t for _, t in markup.elements(tree)] == [f"x_{{{i}}}" for i in range(4000)]
+    assert markup.clean_text(tree) == " ".join(f"c{i} $$x_{{{i}}}$$ * \ue900{i}\ue901" for i in range(4000))
+    block = "\n".join(f"- a_{i} \\\\" for i in range(1500))
+    tree = markup.parse_markdown(f"\\begin{{align}}\n{block}\n\\end{{align}}\n\n# H\n\n\\begin{{align}}\n\n- item")
+    assert list(markup.elements(tree)) == [("formula", " ".join(block.split())), ("heading", "H"), ("list_item", "item")]
+    tree = markup.parse_markdown("\\begin{align}\nx\n\n\\begin{align}\ny\n\\end{align}\n" + "\\begin{gather}\nz\n" * 20_000)
+    assert [t for _, t in markup.elements(tree)] == ["y"]
+
+
 def test_markup_tables(odd):
     assert markup.markup_elements(odd, "id", "text", None, None).where("doc_id in ('d0','d1','d2')").count() == 0
     for suffix in ("md", "html", "wiki", "tex"):
