@@ -5,8 +5,9 @@ algorithm picks the content: composite text density gives each node its characte
 per tag, adjusted for link text; the node whose children's densities sum highest is
 the core of the content, and the lowest density on its path to ``body`` is the
 threshold.  Branches off that path are dropped if they fall below the threshold and
-are page furniture (``nav``, ``footer`` ... or menus of links).  Headings, list
-items, code and formulas are short by nature and never dropped for density alone.
+are page furniture (``nav``, ``footer`` ... or menus of links), but never a ``header``
+or ``aside`` with headings, code or formulas.  Headings, list items, code and formulas
+are short by nature and never dropped for density alone.
 
 The syntax is told by the text (``<!DOCTYPE``, ``\\documentclass``), then by the
 suffix of the source, then by counting the marks of each syntax; a stated content
@@ -681,7 +682,13 @@ def content(body: Node) -> Node:
 
     def furniture(n: Node) -> bool:
         menu = n.links >= 3 and n.link_chars > 0.8 * n.chars and n.tag in ("ul", "ol", "div", "table", "section")
-        return n.tag in FURNITURE or (menu and n.density < threshold)
+        return (menu or n.tag in FURNITURE) and n.density < threshold and not any(map(telling, [n, *_all(n)]))
+
+    def telling(n: Node) -> bool:
+        """A header or aside that holds headings, code or formulas."""
+        if n.tag not in ("header", "aside"):
+            return False
+        return any(c.tag in HEADINGS | _NO_CODE for c in _all(n)) or bool(_FORMULA.search(n.text()))
 
     def prune(n: Node) -> Node:
         n.parts = [

@@ -299,6 +299,20 @@ def test_long_spans_and_formulas_are_whole():
     assert [t for _, t in markup.elements(tree)] == ["y"]
 
 
+def test_furniture_goes_by_density():
+    prose = "The long rule of this page is told in whole and without marks. " * 8
+    page = (
+        "<!DOCTYPE html><body><header><h1>Top</h1><nav><a href=/>Home</a> <a href=/d>Docs</a></nav></header><nav><ul><li><a href=/x>menu</a></li></ul></nav>"
+        f"<main><p>{prose}</p><p>{prose}</p><ul><li>a</li><li>b</li></ul></main><form><ul><li>{prose}</li></ul><p>{prose}{prose}</p></form>"
+        "<aside>See \\(a+b\\) <pre>run x</pre></aside><aside><span>Share</span></aside><footer><h3>f</h3> (c)</footer></body>"
+    )
+    tree = markup.read_document(page, "x.html", None)[1]
+    kinds = list(markup.elements(tree))
+    assert ("heading", "Top") in kinds and ("formula", "a+b") in kinds and ("code", "run x") in kinds and ("list_item", prose.strip()) in kinds
+    text = markup.clean_text(tree)
+    assert not {"Home", "Docs", "menu", "Share", "f", "(c)"} & set(text.replace("\n", " ").split())
+
+
 def test_markup_tables(odd):
     assert markup.markup_elements(odd, "id", "text", None, None).where("doc_id in ('d0','d1','d2')").count() == 0
     for suffix in ("md", "html", "wiki", "tex"):
