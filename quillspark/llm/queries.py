@@ -95,7 +95,7 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Cut kind of each oversized chunk: the pieces that the operator needs tell it."""
+    """Cut kind of each oversized chunk, from the pieces the splitter makes of it."""
     chunks = dedup(read(spark, sf, "chunks").where(F.length("text") > splitting.MAX_TOKENS), ["chunk_id"], "text")
     found = splitting.oversized_kind(chunks, "chunk_id", "text")
     return found.select(F.col("item_id").alias("chunk_id"), "cut_kind")

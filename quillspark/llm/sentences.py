@@ -139,6 +139,7 @@ _STOP = re.compile(
     rf"(?P<w>\s*)(?P<o>[{_OPENERS}]*)(?P<n>\S?)"
 )
 _THAI = re.compile(r"(?<=[ก-ฮะ-ๅ็-๎])\s+(?=[ก-ฮะ-ไ])")
+_THAI_SCRIPT = re.compile(r"[\u0e00-\u0e7f]")
 _CAMEL = re.compile(r"[a-zà-ÿ]{1,5}[A-Z]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LAST = re.compile(r"\S+$")
@@ -204,7 +205,7 @@ def _ends(text: str) -> Iterator[int]:
             continue
         if _starts(text, at, closed):
             yield end
-    if any("฀" <= ch <= "๿" for ch in text):
+    if _THAI_SCRIPT.search(text):
         for m in _THAI.finditer(text):
             yield m.start()
 

@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_tokens, py_count_tokens
+from ..functions.text import _ATOM, count_tokens, py_atom_cost
 from .sentences import split_batch
 
 MAX_TOKENS = 800
@@ -43,6 +45,25 @@ class Piece:
     level: int  # the finest separator that was needed for it
 
 
+class Counted:
+    """Token counts of slices of one text, whose atoms are looked up once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        atoms = list(_ATOM.finditer(text))
+        self.starts, self.ends = [m.start() for m in atoms], [m.end() for m in atoms]
+        self.upto = [0, *accumulate(py_atom_cost(m.group()) for m in atoms)]
+
+    def __call__(self, start: int, end: int) -> int:
+        i, j = bisect_left(self.starts, start), bisect_left(self.starts, end)
+        n = self.upto[j] - self.upto[i]
+        if j > i and self.ends[j - 1] > end:  # the last atom is cut
+            n += py_atom_cost(self.text[self.starts[j - 1] : end]) - (self.upto[j] - self.upto[j - 1])
+        if i and self.ends[i - 1] > start:  # begins within an atom
+            n += py_atom_cost(self.text[start : min(end, self.ends[i - 1])])
+        return n
+
+
 def _cuts(text: str, level: int, start: int, end: int, units: list[tuple[int, int]]) -> list[int]:
     if level == SENTENCE:
         return [a for a, _ in units if start < a < end]
@@ -50,12 +71,12 @@ def _cuts(text: str, level: int, start: int, end: int, units: list[tuple[int, in
     return [m.end() for m in pattern.finditer(text, start, end) if start < m.end() < end]
 
 
-def _characters(text: str, start: int, end: int, tokens: int) -> list[tuple[int, int]]:
+def _characters(text: str, start: int, end: int, tokens: int, count: Counted) -> list[tuple[int, int]]:
     """Runs of about ``tokens`` tokens that never separate a mark from its base."""
     out, at = [], start
     while at < end:
         stop = min(end, at + 4 * tokens)
-        while py_count_tokens(text[at:stop]) > tokens and stop - at > 1:
+        while count(at, stop) > tokens and stop - at > 1:
             stop = at + max(1, (stop - at) * 3 // 4)
         while stop < end and (unicodedata.combining(text[stop]) or unicodedata.category(text[stop])[0] == "M" or text[stop] in "\u200d\ufe0f"):
             stop += 1
@@ -64,19 +85,19 @@ def _characters(text: str, start: int, end: int, tokens: int) -> list[tuple[int,
     return out
 
 
-def parts(text: str, limit: int, overlap: int, units: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def parts(text: str, limit: int, overlap: int, units: list[tuple[int, int]], count: Counted) -> list[tuple[int, int, int, int]]:
     """``start, end, tokens, level`` of parts within the limit, in order, without gaps."""
     out: list[tuple[int, int, int, int]] = []
 
     def down(start: int, end: int, level: int) -> None:
-        tokens = py_count_tokens(text[start:end])
+        tokens = count(start, end)
         if tokens <= limit:
             out.append((start, end, tokens, max(level - 1, SECTION)))  # the separator that cut it
             return
         if level == CHARACTER:
             step = max(1, min(limit, (overlap or limit) // 4 or 1))
-            for a, b in _characters(text, start, end, step):
-                out.append((a, b, py_count_tokens(text[a:b]), CHARACTER))
+            for a, b in _characters(text, start, end, step, count):
+                out.append((a, b, count(a, b), CHARACTER))
             return
         edges = [start, *_cuts(text, level, start, end, units), end]
         for a, b in zip(edges, edges[1:], strict=False):
@@ -86,7 +107,7 @@ def parts(text: str, limit: int, overlap: int, units: list[tuple[int, int]]) ->
     return out
 
 
-def _fine(text: str, whole: list[tuple[int, int, int, int]], overlap: int, units) -> list[tuple[int, int, int, int]]:
+def _fine(text: str, whole: list[tuple[int, int, int, int]], overlap: int, units, count: Counted) -> list[tuple[int, int, int, int]]:
     """Parts longer than the overlap are opened down to sentences, to have something to carry."""
     out = []
     for start, end, tokens, level in whole:
@@ -95,7 +116,7 @@ def _fine(text: str, whole: list[tuple[int, int, int, int]], overlap: int, units
             continue
         inner = [m.end() for m in _LINE.finditer(text, start, end)]
         edges = sorted({start, end, *(x for x in inner if start < x < end), *(a for a, _ in units if start < a < end)})
-        out += [(a, b, py_count_tokens(text[a:b]), level) for a, b in zip(edges, edges[1:], strict=False)]
+        out += [(a, b, count(a, b), level) for a, b in zip(edges, edges[1:], strict=False)]
     return out
 
 
@@ -104,7 +125,8 @@ def split_one(text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
     if not text.strip():
         return []
     units = split_batch([text])[0] if units is None else units
-    coarse = parts(text, limit, overlap, units)
+    count = Counted(text)
+    coarse = parts(text, limit, overlap, units, count)
     pieces: list[Piece] = []
     # Pack whole parts; a cut so falls on the coarsest separator that fits.
     groups: list[list[tuple[int, int, int, int]]] = []
@@ -135,46 +157,15 @@ def split_one(text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
         body = text[start:end]
         start += len(body) - len(body.lstrip())
         end -= len(body) - len(body.rstrip())
-        before = _fine(text, group, overlap, units)
+        before = _fine(text, group, overlap, units, count)
         if start < end:
             pieces.append(
-                Piece(start, end, py_count_tokens(text[start:end]),
-                      py_count_tokens(text[start : group[0][0]]) if carried else 0,
+                Piece(start, end, count(start, end), count(start, group[0][0]) if carried else 0,
                       max(p[3] for p in group))
             )
     return pieces
 
 
-def is_natural(text: str, limit: int, units: list[tuple[int, int]]) -> bool:
-    """Do line breaks and sentence ends alone bring every piece within the limit?"""
-    edges = sorted({0, len(text), *(m.end() for m in _LINE.finditer(text)), *(x for u in units for x in u)})
-    return all(py_count_tokens(text[a:b]) <= limit for a, b in zip(edges, edges[1:], strict=False))
-
-
-def _oversized(df: DataFrame, text: str, limit: int) -> DataFrame:
-    return df.where(F.length(text) > limit)
-
-
-def oversized_kind(df: DataFrame, item_id: str, text: str, limit: int = MAX_TOKENS) -> DataFrame:
-    """``item_id, cut_kind`` of every text over the limit.
-
-    ``natural`` if line breaks and sentence ends suffice, else ``forced``. Token
-    counts are always taken anew. NULL and blank texts are never over the limit;
-    repeated rows come out repeated.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[[py_count_tokens(t) > limit for t in pdf["t"]]]
-            texts = pdf["t"].tolist()
-            units = split_batch(texts)
-            kind = ["natural" if is_natural(t, limit, u) else "forced" for t, u in zip(texts, units, strict=True)]
-            yield pd.DataFrame({"item_id": pdf["item_id"], "cut_kind": kind})
-
-    rows = _oversized(df.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("t")), "t", limit)
-    return rows.mapInPandas(run, "item_id string, cut_kind string")
-
-
 PIECES = (
     "item_id string, piece_no int, section string, text string, start_char int, end_char int, "
     "token_count int, overlap_tokens int, cut_level int"
@@ -219,5 +210,20 @@ def split_oversized(
                     rows.append((i, k, s, t[p.start : p.end], at + p.start, at + p.end, p.tokens, p.overlap, p.level))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    large = _oversized(base, "text", limit).where(F.col("n") > limit)
+    large = base.where((F.length("text") > limit) & (F.col("n") > limit))
     return whole.unionByName(large.select("item_id", "section", "text", "start_char").mapInPandas(run, PIECES))
+
+
+def oversized_kind(df: DataFrame, item_id: str, text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """``item_id, cut_kind`` of every item over the limit, told by the pieces that the splitter makes of it.
+
+    ``natural`` if it needed no separator finer than a sentence, else ``forced``. Token
+    counts are always taken anew. NULL and blank texts are never over the limit; an
+    item whose row is repeated comes out once.
+    """
+    rows = df.select(
+        F.col(item_id).alias("chunk_id"), F.col(text).alias("text"), F.lit(None).cast("string").alias("section"), F.lit(0).alias("start_char")
+    )
+    pieces = split_oversized(rows, limit=limit, overlap=overlap).where(F.col("cut_level") >= SECTION)
+    kind = F.when(F.max("cut_level") >= WORD, "forced").otherwise("natural")
+    return pieces.groupBy("item_id").agg(kind.alias("cut_kind"))
