@@ -1,11 +1,12 @@
 """Problem 7: token ids of the whole corpus with a public tokenizer.
 
-A bounded-lookahead streaming transducer.  A text is fed in slices; a slice is cut
-where the pre-tokenizer must cut whatever follows (before the first white space after
-a mark), so everything to the left is stable.  A single pre-token longer than
-``long_word`` bytes is streamed too: the merge list's own lookahead tells how
-many bytes to the right can still change a token, and tokens further left than that
-are emitted at once.  Memory is constant: one slice, or the lookahead.
+A bounded-lookahead streaming transducer.  A text is read in slices, cut where the
+pre-tokenizer must cut whatever follows (before the first white space after a mark),
+so everything to the left is stable; the pre-tokens of a slice go one by one through the
+merge list.  A pre-token beyond the window is streamed: the merge list's own lookahead
+tells how many bytes to the right can still change a token, and tokens further left than
+that are emitted at once.  Memory is constant: one slice, one window, and
+a bounded table of the pre-tokens met before, which are the same every time.
 
 ``documents`` rows keep their count: NULL and empty texts both have the empty list.
 Strings that look like special tokens are ordinary text.
@@ -19,19 +20,26 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZERS = os.environ.get("QUILL_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 SLICE = 1 << 16
+WINDOW = 1 << 12  # bytes of a pre-token that are merged at a time; well over the lookahead
+KNOWN = 1 << 18  # pre-tokens kept, of at most KNOWN_LENGTH characters each
+KNOWN_LENGTH = 48
 
 #: Fixed value: the pre-tokenizer of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+_SPLIT = regex.compile(PATTERN)
 # White space after a mark: the pre-tokenizer always cuts in front of it.
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 
@@ -71,36 +79,42 @@ def merge_lookahead(ranks: dict[bytes, int]) -> int:
 
 
 def _last_merge(token: bytes, ranks: dict[bytes, int], below: int) -> tuple[bytes, bytes] | None:
-    parts = _bpe(token, ranks, below)
+    parts = merge(token, ranks, below)
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
-def _bpe(word: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
-    """Plain byte pair merging, for short inputs."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, at = min(
-            (ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1)
-        )
-        if rank >= (1 << 30 if below is None else below):
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+def merge(word: bytes, ranks: dict[bytes, int], below: int = 1 << 30) -> list[bytes]:
+    """Byte pair merging by a heap: always the merge of lowest rank, then the leftmost; only ranks under ``below``."""
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n))  # part i is word[i:after[i]]; a merged one has after -1
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2], below)) < below]
+    heapify(heap)
+    while heap:
+        _, i, end = heappop(heap)
+        j = after[i]
+        if not i < j < n or after[j] != end:  # one of the two parts is merged by now
+            continue
+        after[i], after[j], before[end] = end, -1, i
+        if end < n and (rank := ranks.get(word[i : after[end]], below)) < below:
+            heappush(heap, (rank, i, after[end]))
+        if i and (rank := ranks.get(word[before[i] : end], below)) < below:
+            heappush(heap, (rank, before[i], end))
+    out, i = [], 0
+    while i < n:
+        out.append(word[i : after[i]])
+        i = after[i]
+    return out
 
 
 class Codec:
     """Encoder and decoder of one byte-level vocabulary."""
 
-    def __init__(self, path: str, long_word: int = 1 << 14) -> None:
-        import tiktoken
-
+    def __init__(self, path: str, window: int = WINDOW) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.encoding = tiktoken.Encoding(
-            os.path.basename(path), pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}
-        )
         self.bytes_of = {i: b for b, i in self.ranks.items()}
-        self.long_word = long_word
+        self.window = window
+        self.known: dict[str, tuple[int, ...]] = {}
         self._lookahead: int | None = None
 
     @property
@@ -109,25 +123,23 @@ class Codec:
             self._lookahead = merge_lookahead(self.ranks)
         return self._lookahead
 
-    def encode_word(self, word: bytes, window: int | None = None) -> Iterator[int]:
-        """Ids of one long pre-token, emitted as soon as they are stable."""
-        ahead = self.lookahead
-        window = max(window or 0, 4 * ahead, 4096)
-        at = 0
-        while at < len(word):
+    def encode_word(self, word: bytes) -> Iterator[int]:
+        """Ids of one pre-token, emitted as soon as they are stable."""
+        ranks, at = self.ranks, 0
+        while len(word) - at > self.window:
+            window = max(self.window, 2 * self.lookahead)
             piece = word[at : at + window]
-            ids = self.encoding._core_bpe.encode_single_piece(piece)
             if at + len(piece) == len(word):
-                yield from ids
-                return
-            done = 0
-            for i in ids:
-                n = len(self.bytes_of[i])
-                if done + n > len(piece) - ahead:
+                break
+            done, stable = 0, len(piece) - self.lookahead
+            for part in merge(piece, ranks):
+                if done + len(part) > stable:
                     break
-                yield i
-                done += n
+                yield ranks[part]
+                done += len(part)
             at += done
+        for part in merge(word[at:], ranks):
+            yield ranks[part]
 
     def slices(self, text: str) -> Iterator[str]:
         """Slices that the pre-tokenizer never joins."""
@@ -140,22 +152,26 @@ class Codec:
             at = m.start()
         yield text[at:]
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if len(text) <= SLICE // 2:
-            return self.encoding.encode_ordinary(text)
-        out: list[int] = []
+    def words(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Ids of each pre-token, in order."""
+        known = self.known
         for piece in self.slices(text):
-            if len(piece) <= 2 * SLICE:
-                out += self.encoding.encode_ordinary(piece)
-                continue
-            import regex
+            for word in _SPLIT.findall(piece):
+                ids = known.get(word)
+                if ids is None:
+                    ids = tuple(self.encode_word(word.encode()))
+                    if len(word) <= KNOWN_LENGTH:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[word] = ids
+                yield ids
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self.words(text))) if text else []
 
-            for m in regex.finditer(PATTERN, piece):
-                word = m.group().encode()
-                out += self.encode_word(word) if len(word) > self.long_word else self.encoding.encode_ordinary(m.group())
-        return out
+    def count(self, text: str | None) -> int:
+        """Number of tokens, without keeping them."""
+        return sum(map(len, self.words(text))) if text else 0
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as far as it is complete; a character cut by a token waits for its rest."""
@@ -205,7 +221,7 @@ def token_counts(df: DataFrame, text: str, out: str = "tokens", path: str | None
     @F.pandas_udf("bigint")
     def count(values: pd.Series) -> pd.Series:
         c = codec(path)
-        return values.map(lambda t: len(c.encode(t)))
+        return values.map(c.count)
 
     return df.withColumn(out, count(F.coalesce(F.col(text), F.lit(""))))
 

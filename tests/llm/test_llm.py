@@ -6,6 +6,7 @@ import math
 import os
 import random
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -367,14 +368,42 @@ def test_encoding_equals_library_and_round_trips(spark, odd):
     assert {r.doc_id: r.text for r in back.collect()} == {f"d{i}": t or "" for i, t in enumerate(ODD)}
 
 
+@lru_cache
+def library():
+    import tiktoken
+
+    ranks = encoding.codec(encoding.tokenizer_path()).ranks
+    return tiktoken.Encoding("oracle", pat_str=encoding.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @needs_files
 @pytest.mark.parametrize("alphabet", ["ab", "thequickbrownfox", "é费率", "aA0/+=", "ing"])
 def test_bounded_lookahead_is_exact(alphabet):
     c = encoding.codec(encoding.tokenizer_path())
     rng = random.Random(alphabet)
     word = "".join(rng.choice(alphabet) for _ in range(20_000)).encode()
-    assert list(c.encode_word(word)) == c.encoding._core_bpe.encode_single_piece(word)
-    assert 0 < c.lookahead < 4000
+    assert list(c.encode_word(word)) == library()._core_bpe.encode_single_piece(word)
+    assert 0 < c.lookahead < c.window / 2
+
+
+@needs_files
+def test_every_pretoken_goes_through_the_merge_list(monkeypatch):
+    c = encoding.Codec(encoding.tokenizer_path())
+    seen = []
+    own = encoding.Codec.encode_word
+    monkeypatch.setattr(encoding.Codec, "encode_word", lambda self, word: seen.append(word) or own(self, word))
+    text = "The fee is 15.00, the fee is due.\n\n " + "long" * 40 + " " + "长" * 90_000
+    assert c.encode(text) == c.encode(text) == library().encode_ordinary(text) and c.count(text) == len(c.encode(text))
+    assert set(seen) == {w.encode() for w in encoding._SPLIT.findall(text)}
+    assert seen.count(b" fee") == 1 and all(len(w) <= encoding.KNOWN_LENGTH for w in c.known)
+
+
+@needs_files
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_equals_library(text):
+    text = text.encode("utf8", "ignore").decode()
+    assert encoding.codec(encoding.tokenizer_path()).encode(text) == library().encode_ordinary(text)
 
 
 def test_lookahead_of_small_merges():
@@ -382,11 +411,21 @@ def test_lookahead_of_small_merges():
     assert encoding.merge_lookahead(ranks) == 2  # "ab" hangs on the c after it
 
 
-@needs_files
-def test_plain_merging_agrees():
-    c = encoding.codec(encoding.tokenizer_path())
-    for w in (b"hello", b" tokenization", "é费".encode()):
-        assert [c.ranks[p] for p in encoding._bpe(w, c.ranks)] == c.encoding._core_bpe.encode_single_piece(w)
+def test_merging_equals_plain_search():
+    rng = random.Random(3)
+    ranks = {bytes([b]): i for i, b in enumerate(b"abc")}
+    while len(ranks) < 40:
+        a, b = rng.choice(list(ranks)), rng.choice(list(ranks))
+        ranks.setdefault(a + b, len(ranks))
+    for _ in range(300):
+        word = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40)))
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            best = min(((ranks.get(x + y, 99), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False))), default=(99, 0))
+            if best[0] == 99:
+                break
+            parts[best[1] : best[1] + 2] = [b"".join(parts[best[1] : best[1] + 2])]
+        assert encoding.merge(word, ranks) == parts
 
 
 # --- 8 ------------------------------------------------------------------------------
