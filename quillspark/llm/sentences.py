@@ -1,10 +1,12 @@
 """Problem 3: sentence boundaries across languages and scripts.
 
 Boundary rules are compiled into a :class:`Transducer`.  A text becomes a short
-sequence of symbols (line kinds, quotation and bracket marks, possible ends); the
-transducer holds the block structure and the open quotation, and says where a unit
-starts or is cut.  Whether a terminator is a *possible* end is a local question
-(abbreviation, ordinal, what follows) answered where the symbol is made.
+sequence of symbols: line kinds, quotation and bracket marks, and for each possible end
+what stands before the stop (a plain word, a title, a word that is sometimes shortened,
+a reference, an ordinal) and what follows it (a word that starts sentences, a number,
+another shortened letter, any capital).  The transducer holds the block structure and the
+open quotation, weighs what stands before an end against what follows, and says where a
+unit starts or is cut.
 
 Units: a sentence, a heading line, a list item line, a whole table, a whole fenced
 code block, or a cut-off rest.  Offsets count Unicode characters, from 0, end
@@ -28,32 +30,31 @@ from .transducer import Transducer
 #: Never end a sentence: titles, references, and the like before a name or number.
 PREFIX = set(
     "dr. mr. mrs. ms. prof. rev. hon. gen. col. capt. lt. sgt. gov. sen. rep. pres. "
-    "sr. sra. srta. dra. dr.ª d. dña. ud. uds. vd. m. mm. mme. mlle. me. mgr. hr. fr. frl. "
-    "fig. figs. sec. secs. ch. chap. vol. vols. art. arts. eq. ed. eds. p. pp. pg. pág. págs. "
-    "nr. nrn. núm. n. n.º no.s nos. abs. bd. kap. abb. tab. ziff. rdnr. s. st.-nr. tel. ext. "
-    "ca. bzw. vgl. sog. usw.- ggf. inkl. exkl. evtl. z. b. d. h. u. a. o. ä. i. e. z.b. d.h. u.a. "
-    "e.g. i.e. cf. viz. vs. v. approx. ca. est. incl. excl. resp. ex. ej. p.ex. p.ej. env. "
+    "sr. sra. srta. dra. dr.ª dña. ud. uds. vd. mm. mme. mlle. me. mgr. hr. fr. frl. "
+    "fig. figs. sec. secs. ch. chap. vol. vols. art. arts. eq. ed. eds. pp. pg. pág. págs. "
+    "nr. nrn. núm. n.º no.s nos. abs. bd. kap. abb. tab. ziff. rdnr. st.-nr. tel. ext. "
+    "ca. bzw. vgl. sog. ggf. inkl. exkl. evtl. z.b. d.h. u.a. "
+    "e.g. i.e. cf. viz. vs. approx. est. incl. excl. resp. ex. ej. p.ex. p.ej. env. "
     "a.k.a. aka. κ. κα. κος. κ.κ. σελ. αρ. π.χ. δηλ. βλ. д. г. см. т. "
     "د. أ. م. أ.د. डॉ. श्री. सुश्री. पं. प्रो. सं. रु.".split()
 )
 #: May end a sentence, but only before a word that starts one.
 SUFFIX = set(
-    "etc. inc. ltd. co. corp. llc. plc. gmbh. s.a. s.l. ph.d. m.d. b.a. m.a. d.phil. esq. jr. "
-    "u.s. u.k. u.n. e.u. u.s.a. st. ave. blvd. rd. dept. est. al. "
-    "jan. feb. mar. apr. jun. jul. aug. sep. sept. oct. nov. dec. "
+    "etc. s.a. s.l. ph.d. m.d. b.a. m.a. d.phil. esq. jr. u.s. u.k. u.n. e.u. u.s.a. "
+    "st. ave. blvd. rd. dept. al. jan. feb. mar. apr. jun. jul. aug. sep. sept. oct. nov. dec. "
     "mon. tue. tues. wed. thu. thur. thurs. fri. sat. sun. usw. ff. f. κ.λπ. κλπ. κ.ά.".split()
 )
-#: End a sentence before any capital.
-CLOCK = {"a.m.", "p.m.", "a.m", "p.m"}
+#: Letters with stops that are words: a sentence may end after them.
+CLOCK = {"a.m.", "p.m."}
 #: Before a number an abbreviation, else a word of its own.
 NUMBERED = {"no.", "art.", "sec.", "fig.", "op."}
-#: Words that start a sentence after an abbreviation.
+#: Function words that start sentences: articles, pronouns, question words, conjunctions, auxiliaries.
 STARTERS = set(
     "the a an this that these those it its he she they we you i there here when where which what "
     "who whose why how if in on at by for from to with without after before each every no not all "
-    "some many most any both either neither our your their his her my then once only please see "
+    "some many most any both either neither our your their his her my then once only please "
     "is are was were do does did can could should would may might must but and or so as while "
-    "although however also open set call send keep quote compare use ask wait files fees "
+    "although however also "
     "der die das ein eine es er sie wir ihr ich am im in wann wo wer was wie ist sind nach vor bei "
     "le la les un une il elle nous vous ils elles ce cette ces quand où qui que quel quelle on "
     "el los las una uno ella ellos nosotros cuándo dónde quién qué quedan se no hay".split()
@@ -70,13 +71,27 @@ ORDINAL_AFTER = set(
 # Line symbols, then mark symbols.
 RESET, BLANK, HEAD, FENCE_A, FENCE_B, ROW, BULLET, NUMBER, PLAIN, INDENT = range(10)
 CURLY_O, CURLY_C, LOW_O, QUOTE, QUOTE_C, SINGLE_O, SINGLE_C = range(10, 17)
-ANGLE_O, ANGLE_C, CORNER_O, CORNER_C, PAREN_O, PAREN_C, END, PAD = range(17, 25)
-SYMBOLS = 25
+ANGLE_O, ANGLE_C, CORNER_O, CORNER_C, PAREN_O, PAREN_C = range(17, 23)
+# A possible end: what stands before the stop, then what follows it.
+AFTER_WORD, AFTER_TITLE, AFTER_SHORT, AFTER_REFERENCE, AFTER_ORDINAL = range(23, 28)
+STARTER, DIGIT, LETTER, OTHER = range(28, 32)
+PAD = 32
+SYMBOLS = 33
 
 # States: structure, and within a paragraph the outermost open mark.
 GAP, IN_HEAD, IN_ITEM, IN_TABLE, IN_A, IN_B = range(6)
 PARA, P_CURLY, P_LOW, P_QUOTE, P_SINGLE, P_ANGLE, P_CORNER, P_PAREN, P_PAREN2 = range(6, 15)
-STATES = 15
+WEIGHED = range(15, 20)  # in a paragraph, after a stop: one state for each symbol of what stands before it
+STATES = 20
+
+#: After which words a sentence ends, by what follows.
+ENDS = {
+    AFTER_WORD: (STARTER, DIGIT, LETTER, OTHER),
+    AFTER_TITLE: (),
+    AFTER_SHORT: (STARTER,),
+    AFTER_REFERENCE: (STARTER, LETTER, OTHER),
+    AFTER_ORDINAL: (DIGIT,),
+}
 
 # Outputs.
 START, STOP, CUT = 1, 2, 3
@@ -115,7 +130,11 @@ def _tables() -> Transducer:
         for symbol in closes:
             step[inside, symbol] = PARA
     step[P_PAREN, PAREN_O], step[P_PAREN2, PAREN_C] = P_PAREN2, P_PAREN
-    emit[PARA, END] = CUT
+    for before, state in zip(ENDS, WEIGHED, strict=True):
+        step[PARA, before] = state
+        for follows in (STARTER, DIGIT, LETTER, OTHER):
+            step[state, follows] = PARA
+            emit[state, follows] = CUT if follows in ENDS[before] else 0
     return Transducer(step, emit, PAD)
 
 
@@ -143,7 +162,18 @@ _THAI_SCRIPT = re.compile(r"[\u0e00-\u0e7f]")
 _CAMEL = re.compile(r"[a-zà-ÿ]{1,5}[A-Z]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LAST = re.compile(r"\S+$")
+_LETTERS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")  # U.S. and the like
+_LEADING = _OPENERS.replace("\\", "")
 _NEXT = re.compile(r"[\w.'’]+")
+_SAID = re.compile(r"[\d\w.!?,…。！？*_)]")
+
+
+def _ORDER(e: tuple[int, int, int]) -> tuple[int, int]:
+    """By place; a possible end after any mark at its place, and what stands before it first."""
+    return e[0], max(e[1], AFTER_WORD - 1)
+
+
+
 _WIDE = "。！？｡"
 
 
@@ -159,39 +189,44 @@ def _starts(text: str, at: int, closed: bool) -> bool:
     return ch not in "-–—,;:/&=+<>|)]}»”’…."
 
 
-def _abbreviated(text: str, stop: int, nxt: int) -> bool:
-    """Is the full stop at ``stop`` part of an abbreviation or ordinal?  ``nxt``: what follows."""
+def _before(text: str, stop: int, nxt: int) -> int:
+    """What stands before the full stop at ``stop``; ``nxt`` is where the text goes on."""
     m = _LAST.search(text, max(0, stop - 40), stop)
     if not m:
-        return False
-    raw = m.group().lstrip(_OPENERS.replace("\\", ""))
+        return AFTER_WORD
+    raw = m.group().lstrip(_LEADING)
     word = raw.lower() + "."
-    following = _NEXT.match(text, nxt)
-    first = following.group() if following else ""
-    if word in NUMBERED and word not in PREFIX - NUMBERED:
-        return first[:1].isdigit()
-    if word in CLOCK:
-        return False
-    if raw[:-1].isdigit() or raw.isdigit():
-        if len(raw) <= 2 and first:
-            w = _WORD.match(text, nxt)
-            if w and w.group().lower() in ORDINAL_AFTER:
-                return True
-            before = _LAST.search(text[max(0, m.start() - 30) : m.start()].rstrip())
-            return bool(before) and before.group().lower() in ORDINAL_BEFORE and first[:1].isalpha()
-        return False
+    if word in NUMBERED:
+        return AFTER_REFERENCE
+    if raw.isdigit():
+        if len(raw) > 2:
+            return AFTER_WORD
+        w = _WORD.match(text, nxt)
+        before = _LAST.search(text[max(0, m.start() - 30) : m.start()].rstrip())
+        dated = before and before.group().lower() in ORDINAL_BEFORE
+        return AFTER_ORDINAL if dated or w and w.group().lower() in ORDINAL_AFTER else AFTER_WORD
     if word in PREFIX:
-        return True
-    starter = first.lower() in STARTERS and not text.startswith(".", following.end())
-    if word in SUFFIX or (len(raw) == 1 and raw.isalpha() and raw.isupper()):
-        return not starter
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", raw):  # U.S.-like letters with stops
-        return not starter
-    return False
+        return AFTER_TITLE
+    if word in SUFFIX or len(raw) == 1 and raw.isalpha() or _LETTERS.fullmatch(raw) and word not in CLOCK:
+        return AFTER_SHORT
+    return AFTER_WORD
+
+
+def _after(text: str, at: int) -> int:
+    """What follows a possible end."""
+    m = _NEXT.match(text, at)
+    if not m:
+        return OTHER
+    first = m.group()
+    if first[0].isdigit():
+        return DIGIT
+    if text.startswith(".", m.end()) or first.endswith("."):
+        return LETTER if len(first.rstrip(".")) == 1 else OTHER
+    return STARTER if first.lower() in STARTERS else OTHER
 
 
-def _ends(text: str) -> Iterator[int]:
-    """Places where a sentence may end (exclusive)."""
+def _ends(text: str) -> Iterator[tuple[int, int, int]]:
+    """Places where a sentence may end (exclusive), what stands before and what follows."""
     for m in _STOP.finditer(text):
         t, closed, end = m["t"], bool(m["c"].strip("*_~`")), m.end("c")
         if not m["n"] and not m["o"]:
@@ -199,15 +234,13 @@ def _ends(text: str) -> Iterator[int]:
         at = m.start("n") if m["n"] else m.start("o")
         if not m["w"]:
             if t[-1] in _WIDE and not closed:
-                yield end
-            continue
-        if t == "." and not closed and _abbreviated(text, m.start("t"), at):
-            continue
-        if _starts(text, at, closed):
-            yield end
+                yield end, AFTER_WORD, OTHER
+        elif _starts(text, at, closed):
+            before = _before(text, m.start("t"), at) if t == "." and not closed else AFTER_WORD
+            yield end, before, OTHER if before == AFTER_WORD else _after(text, at)
     if _THAI_SCRIPT.search(text):
         for m in _THAI.finditer(text):
-            yield m.start()
+            yield m.start(), AFTER_WORD, OTHER
 
 
 def events(text: str) -> tuple[list[int], list[int]]:
@@ -238,30 +271,30 @@ def events(text: str) -> tuple[list[int], list[int]]:
             kind = INDENT if line[:2].isspace() else PLAIN
         found.append((2 * at, kind, at))
     bounds.append(len(text))
-    b = 0
+    marks: list[tuple[int, int]] = []
     for m in _MARK.finditer(text):
         ch, at = m.group(), m.start()
-        while bounds[b] < at:
-            b += 1
         if ch == '"':
             before, after = text[at - 1 : at], text[at + 1 : at + 2]
             opens = (not before or before.isspace() or before in "([{*_“„'‘—–-:") and not after.isspace()
-            kind = QUOTE if opens or not re.match(r"[\d\w.!?,…。！？*_)]", before) else QUOTE_C
+            marks.append((QUOTE if opens or not _SAID.match(before) else QUOTE_C, at))
         elif ch in "'‘’":
-            if at and not text[at - 1].isspace():
-                kind = SINGLE_C
-            elif re.search(r"(?<=\S)['’](?!\w)", text[at + 1 : bounds[b]]):
-                kind = SINGLE_O
-            else:
-                continue
+            marks.append((SINGLE_C if at and not text[at - 1].isspace() else SINGLE_O, at))
         else:
-            kind = _KIND[ch]
-            if kind == PAREN_O and not re.search(r"[)\]）]", text[at + 1 : bounds[b]]):
-                continue
+            marks.append((_KIND[ch], at))
+    # An apostrophe or bracket opens something only if it is closed in its paragraph: seen from the right, in one pass.
+    closers, b = {SINGLE_O: -1, PAREN_O: -1}, len(bounds) - 1
+    for kind, at in reversed(marks):
+        while b and bounds[b - 1] > at:
+            b -= 1
+        if kind in (SINGLE_C, PAREN_C):
+            closers[SINGLE_O if kind == SINGLE_C else PAREN_O] = at
+        elif kind in closers and not at < closers[kind] < bounds[b]:
+            continue
         found.append((2 * at + 1, kind, at))
-    for end in _ends(text):
-        found.append((2 * end - 1, END, end))
-    found.sort(key=lambda e: (e[0], e[1] == END))
+    for end, before, after in _ends(text):
+        found += ((2 * end - 1, before, end), (2 * end - 1, after, end))
+    found.sort(key=_ORDER)
     return [e[1] for e in found], [e[2] for e in found]
 
 

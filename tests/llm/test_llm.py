@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import time
 from collections import Counter
 from functools import lru_cache
 
@@ -141,6 +142,8 @@ CASES = [
     "قال: «فشل. حاول.» ثم أنهى. هل أغلق؟|2",
     "It closes at 5 a.m. The rest waits… 'Is it?' was asked. eCheck works in the U.S. Northern zone.|4",
     "(It is optional.) Files like a.csv or b.tar.gz. See p. 212. “Never,” he says, “unless v7.1.4 on Nov. 8.” Cut “No! Not|5",
+    "We chose plan A. Then we left. Take option b. The rest follows. See it at 5 m. The wall is high. He got vitamin D. It helped.|8",
+    "Acme Inc. Revenue grew. M. Mi und z. B. Hunde, d. h. alle. See No. 7. No. They left.|5",
     "# Head. One\n\n- item a. B\n- item c\n\n| a. B |\n| - |\n\n```\nx. Y\n\nz\n```\nThen a\nwrapped line. 2 more.|7",
 ]
 
@@ -163,6 +166,17 @@ def test_scan_does_not_depend_on_blocks(text, block):
     assert not text[at:].strip()
 
 
+@pytest.mark.parametrize("unit", ["( a ", "x 'a ", "( a) ", "“ a ", "A. 'b "])
+def test_long_paragraphs_take_linear_time(unit):
+    def seconds(n: int) -> float:
+        began = time.process_time()
+        sentences.split_text(unit * n)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 40 * seconds(20_000) + 0.5
+
+
 def test_transducer_equals_sequential():
     rng = np.random.default_rng(0)
     step, emit = rng.integers(0, 6, (6, 5)), rng.integers(0, 4, (6, 5))
