@@ -143,7 +143,7 @@ CASES = [
     "It closes at 5 a.m. The rest waits… 'Is it?' was asked. eCheck works in the U.S. Northern zone.|4",
     "(It is optional.) Files like a.csv or b.tar.gz. See p. 212. “Never,” he says, “unless v7.1.4 on Nov. 8.” Cut “No! Not|5",
     "We chose plan A. Then we left. Take option b. The rest follows. See it at 5 m. The wall is high. He got vitamin D. It helped.|8",
-    "Acme Inc. Revenue grew. M. Mi und z. B. Hunde, d. h. alle. See No. 7. No. They left.|5",
+    "Acme Inc. Revenue grew. M. Mi und z. B. Hunde, d. h. alle. See No. 7. No. They left.|6",
     "# Head. One\n\n- item a. B\n- item c\n\n| a. B |\n| - |\n\n```\nx. Y\n\nz\n```\nThen a\nwrapped line. 2 more.|7",
 ]
 
