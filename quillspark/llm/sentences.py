@@ -153,17 +153,21 @@ _KIND = {
 _CLOSERS = r"\"'”’»›)\]}」』）】》〉“*_~`"
 _OPENERS = r"\"'“„‘«‹「『(（\[{*_~`¿¡【《〈"
 _STOP = re.compile(
-    r"(?P<t>[.!?…؟۔।॥。！？｡]+|(?<=[Ͱ-Ͽἀ-῿]);)"
-    rf"(?P<c>(?:[{_CLOSERS}]|[ \u00a0\u202f][»›])*)"
-    rf"(?P<w>\s*)(?P<o>[{_OPENERS}]*)(?P<n>\S?)"
+    r"([.!?…؟۔।॥。！？｡]+|(?<=[Ͱ-Ͽἀ-῿]);)"  # stops
+    rf"((?:[{_CLOSERS}]|[ \u00a0\u202f][»›])*)"  # closing marks
+    rf"(\s*)([{_OPENERS}]*)(\S?)"  # white space, opening marks, what follows
 )
 _THAI = re.compile(r"(?<=[ก-ฮะ-ๅ็-๎])\s+(?=[ก-ฮะ-ไ])")
 _THAI_SCRIPT = re.compile(r"[\u0e00-\u0e7f]")
 _CAMEL = re.compile(r"[a-zà-ÿ]{1,5}[A-Z]")
 _WORD = re.compile(r"[^\W\d_]+")
-_LAST = re.compile(r"\S+$")
 _LETTERS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")  # U.S. and the like
 _LEADING = _OPENERS.replace("\\", "")
+_SHORTENED = {
+    **dict.fromkeys(SUFFIX, AFTER_SHORT), **dict.fromkeys(PREFIX, AFTER_TITLE),
+    **dict.fromkeys(NUMBERED, AFTER_REFERENCE), **dict.fromkeys(CLOCK, AFTER_WORD),
+}
+_LINE_MARKS = frozenset("#-*+•‣◦▪0123456789")
 _NEXT = re.compile(r"[\w.'’]+")
 _SAID = re.compile(r"[\d\w.!?,…。！？*_)]")
 
@@ -191,25 +195,24 @@ def _starts(text: str, at: int, closed: bool) -> bool:
 
 def _before(text: str, stop: int, nxt: int) -> int:
     """What stands before the full stop at ``stop``; ``nxt`` is where the text goes on."""
-    m = _LAST.search(text, max(0, stop - 40), stop)
-    if not m:
+    near = text[max(0, stop - 40) : stop].rsplit(None, 1)
+    if not near or text[stop - 1].isspace():
         return AFTER_WORD
-    raw = m.group().lstrip(_LEADING)
-    word = raw.lower() + "."
-    if word in NUMBERED:
-        return AFTER_REFERENCE
+    raw = near[-1].lstrip(_LEADING)
+    known = _SHORTENED.get(raw.lower() + ".")
+    if known is not None:
+        return known
+    if raw.isalpha():
+        return AFTER_SHORT if len(raw) == 1 else AFTER_WORD
     if raw.isdigit():
         if len(raw) > 2:
             return AFTER_WORD
         w = _WORD.match(text, nxt)
-        before = _LAST.search(text[max(0, m.start() - 30) : m.start()].rstrip())
-        dated = before and before.group().lower() in ORDINAL_BEFORE
+        at = stop - len(near[-1])
+        before = text[max(0, at - 30) : at].rsplit(None, 1)
+        dated = before and before[-1].lower() in ORDINAL_BEFORE
         return AFTER_ORDINAL if dated or w and w.group().lower() in ORDINAL_AFTER else AFTER_WORD
-    if word in PREFIX:
-        return AFTER_TITLE
-    if word in SUFFIX or len(raw) == 1 and raw.isalpha() or _LETTERS.fullmatch(raw) and word not in CLOCK:
-        return AFTER_SHORT
-    return AFTER_WORD
+    return AFTER_SHORT if _LETTERS.fullmatch(raw) else AFTER_WORD
 
 
 def _after(text: str, at: int) -> int:
@@ -228,15 +231,16 @@ def _after(text: str, at: int) -> int:
 def _ends(text: str) -> Iterator[tuple[int, int, int]]:
     """Places where a sentence may end (exclusive), what stands before and what follows."""
     for m in _STOP.finditer(text):
-        t, closed, end = m["t"], bool(m["c"].strip("*_~`")), m.end("c")
-        if not m["n"] and not m["o"]:
+        t, closing, space, opening, first = m.groups()
+        if not first and not opening:
             continue  # the end of the text
-        at = m.start("n") if m["n"] else m.start("o")
-        if not m["w"]:
+        end, closed = m.end(2), bool(closing) and bool(closing.strip("*_~`"))
+        at = m.start(5) if first else m.start(4)
+        if not space:
             if t[-1] in _WIDE and not closed:
                 yield end, AFTER_WORD, OTHER
         elif _starts(text, at, closed):
-            before = _before(text, m.start("t"), at) if t == "." and not closed else AFTER_WORD
+            before = _before(text, m.start(), at) if t == "." and not closed else AFTER_WORD
             yield end, before, OTHER if before == AFTER_WORD else _after(text, at)
     if _THAI_SCRIPT.search(text):
         for m in _THAI.finditer(text):
@@ -261,6 +265,8 @@ def events(text: str) -> tuple[list[int], list[int]]:
             kind = FENCE_B
         elif body[0] == "|":
             kind = ROW
+        elif not (body[0] in _LINE_MARKS or body[0].isdigit()):
+            kind = INDENT if line[:2].isspace() else PLAIN
         elif _HEAD.match(line):
             kind = HEAD
         elif _BULLET.match(line):
