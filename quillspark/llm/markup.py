@@ -3,11 +3,14 @@
 Every syntax is read into one kind of tree (blocks under ``body``), so that one
 algorithm picks the content: composite text density gives each node its characters
 per tag, adjusted for link text; the node whose children's densities sum highest is
-the core of the content, and the lowest density on its path to ``body`` is the
-threshold.  Branches off that path are dropped if they fall below the threshold and
-are page furniture (``nav``, ``footer`` ... or menus of links), but never a ``header``
-or ``aside`` with headings, code or formulas.  Headings, list items, code and formulas
-are short by nature and never dropped for density alone.
+the core of the content and is kept whole, and the lowest density on its path to ``body``
+is the threshold.  What falls below the threshold of its path is dropped if it is page
+furniture (``nav``, ``footer`` ... or menus of links), wherever it is, and outside the core
+any block of mostly links; but never a ``header`` or ``aside`` with headings, code or formulas.
+Headings, list items, code, formulas and short paragraphs are of low density by nature and
+never dropped for that alone.
+
+Trees may be as deep as they like: all walks over them keep their own stacks.
 
 The syntax is told by the text (``<!DOCTYPE``, ``\\documentclass``), then by the
 suffix of the source, then by counting the marks of each syntax; a stated content
@@ -51,7 +54,7 @@ def squash(text: str) -> str:
     return " ".join(text.split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A block of the tree; ``parts`` holds text and child nodes in order."""
 
@@ -62,21 +65,32 @@ class Node:
     tags: int = 0
     links: int = 0
     density: float = 0.0
+    blocks: bool = False  # is there a block below?
+    telling: bool = False  # are there headings, code or formulas in it?
+    spared: bool = False  # is it, or does it hold, a header or aside with such?
 
     def nodes(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
 
     def text(self, skip: frozenset[str] = frozenset()) -> str:
-        out = []
-        for p in self.parts:
+        out: list[str] = []
+        todo: list = self.parts[::-1]
+        while todo:
+            p = todo.pop()
             if isinstance(p, str):
                 out.append(p)
             elif p.tag not in skip and p.tag not in HIDDEN:
                 gap = " " if p.tag in BLOCK else ""
-                out += [gap, p.text(skip), gap]
+                todo += [gap, *p.parts[::-1], gap]
         return "".join(out)
 
 
+def marks(text: str, n: int) -> list[str]:
+    """Characters that the text does not have, to stand for what is put by."""
+    free = (c for c in map(chr, range(0xE900, 0x110000)) if c not in text)
+    return [next(free) for _ in range(n)]
+
+
 # --- HTML ---------------------------------------------------------------------
 
 
@@ -151,6 +165,7 @@ _DEFINITION = re.compile(r"^ {0,3}\[[^\]]+\]:\s*\S+")
 _CELL = re.compile(r"(?:\\.|[^|\\]|\\$)+")
 _RULED = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 _MATH_OPEN = re.compile(r"^\s*(\$\$|\\\[|\\begin\{(" + "|".join(MATH_ENVIRONMENTS) + r")\*?\})")
+_MARKED = re.compile(r"[*_~`\[\\$<&]")  # what an inline mark begins with
 _MD = re.compile(
     r"(?P<tick>`+)(?!`)(?P<code>.+?)(?<!`)(?P=tick)(?!`)"
     r"|\\\((?P<m1>.+?)\\\)|\\\[(?P<m2>.+?)\\\]|\$\$(?P<m3>.+?)\$\$"
@@ -168,8 +183,9 @@ _STRIKE = re.compile(r"~~(?=\S)(.+?)(?<=\S)~~", re.S)
 def _inline_markdown(text: str) -> list:
     """Text and formula nodes of a Markdown span; marks are gone, escapes resolved."""
     kept: list = []
-    free = (c for c in map(chr, range(0xE900, 0x110000)) if c not in text)
-    first, last = next(free), next(free)  # marks that the text doesn't have
+    if not _MARKED.search(text):
+        return [text]
+    first, last = marks(text, 2)
 
     def keep(value) -> str:
         kept.append(value)
@@ -244,7 +260,25 @@ def _table_markdown(lines: list[str]) -> Node:
 
 def parse_markdown(text: str) -> Node:
     body = Node("body")
-    lines = _FRONT.sub("", text, count=1).split("\n")
+    quotes = [(body, _FRONT.sub("", text, count=1).split("\n"))]
+    while quotes:  # a quotation is read as a text of its own
+        quotes += _blocks_markdown(*quotes.pop())
+    return body
+
+
+_QUOTED = re.compile(r"(?:[ \t]*>)+ ?")
+
+
+def _unquoted(lines: list[str]) -> list[str]:
+    """Lines without the quotation marks that all of them have."""
+    depth = min(_QUOTED.match(x).group().count(">") for x in lines)
+    level = re.compile(r"(?:[ \t]*>){%d} ?" % depth) if depth < 1000 else _QUOTED
+    return [level.sub("", x, count=1) for x in lines]
+
+
+def _blocks_markdown(body: Node, lines: list[str]) -> list[tuple[Node, list[str]]]:
+    """Read the blocks of ``lines`` into ``body``; the quotations among them are left to be read."""
+    quotes: list[tuple[Node, list[str]]] = []
     paragraph: list[str] = []
     open_ended: set[str] = set()
     in_list = False
@@ -336,11 +370,11 @@ def parse_markdown(text: str) -> Node:
             in_list = False
             continue
         if line.lstrip().startswith(">") and not paragraph:
-            quoted = []
+            start = i
             while i < len(lines) and lines[i].lstrip().startswith(">"):
-                quoted.append(re.sub(r"^\s*> ?", "", lines[i]))
                 i += 1
-            body.parts.append(Node("blockquote", parse_markdown("\n".join(quoted)).parts))
+            body.parts.append(Node("blockquote"))
+            quotes.append((body.parts[-1], _unquoted([x.lstrip() for x in lines[start:i]])))
             in_list = False
             continue
         if not paragraph and line.lstrip().startswith("|"):
@@ -357,7 +391,7 @@ def parse_markdown(text: str) -> Node:
         paragraph.append(line)
         i += 1
     flush()
-    return body
+    return quotes
 
 
 # --- wiki ---------------------------------------------------------------------
@@ -376,10 +410,11 @@ _W_URL = re.compile(r"\[(?:https?:)?//\S+\s+([^\]]+)\]")
 def parse_wiki(text: str) -> Node:
     body = Node("body")
     kept: list[Node | str] = []
+    first, last = marks(text, 2)
 
     def keep(value) -> str:
         kept.append(value)
-        return f"\ue900{len(kept) - 1}\ue901"
+        return f"{first}{len(kept) - 1}{last}"
 
     def raw(m: re.Match) -> str:
         tag, inside = m["t"].lower(), m["b"] or ""
@@ -402,11 +437,11 @@ def parse_wiki(text: str) -> Node:
         span = re.sub(r"'{2,5}", "", span)
         span = re.sub(r"</?[A-Za-z][^<>]*>", lambda m: " " if re.match(r"<br", m[0], re.I) else "", span)
         out: list = []
-        for k, piece in enumerate(re.split("(\ue900\\d+\ue901)", html.unescape(span))):
+        for k, piece in enumerate(re.split(f"{first}(\\d+){last}", span)):
             if k % 2:
-                out.append(kept[int(piece[1:-1])])
+                out.append(kept[int(piece)])
             elif piece:
-                out.append(piece)
+                out.append(html.unescape(piece))
         return out
 
     lines, paragraph, i = text.split("\n"), [], 0
@@ -474,13 +509,11 @@ def parse_wiki(text: str) -> Node:
 
 
 def _restore(node: Node, inline) -> Node:
-    parts: list = []
-    for p in node.parts:
-        if isinstance(p, Node):
-            parts.append(_restore(p, inline))
-        else:
-            parts += inline(p.replace("<", "&lt;").replace("&", "&amp;") if "&" in p or "<" in p else p)
-    node.parts = parts
+    for n in [node, *below(node)]:
+        n.parts = [
+            x for p in n.parts
+            for x in ([p] if isinstance(p, Node) else inline(p.replace("&", "&amp;").replace("<", "&lt;") if "&" in p or "<" in p else p))
+        ]
     return node
 
 
@@ -520,10 +553,11 @@ def _braced(text: str, at: int) -> tuple[str, int]:
 def parse_latex(text: str) -> Node:
     body = Node("body")
     kept: list = []
+    first, last, note, end_note = marks(text, 4)
 
     def keep(value) -> str:
         kept.append(value)
-        return f"\ue900{len(kept) - 1}\ue901"
+        return f"{first}{len(kept) - 1}{last}"
 
     text = _T_CODE.sub(lambda m: f"\n\n{keep(Node('pre', [m[2]]))}\n\n", text)
     text = re.sub(r"\\verb\*?([^A-Za-z\s])(.*?)\1", lambda m: keep(m[2]), text)
@@ -550,9 +584,9 @@ def parse_latex(text: str) -> Node:
         span = re.sub(r"\\[A-Za-z]+\*?\s*(?:\[[^\]]*\])?(?=\{)", "", span)
         span = re.sub(r"[{}]", "", span)
         out: list = []
-        for k, piece in enumerate(re.split("(\ue900\\d+\ue901)", span)):
+        for k, piece in enumerate(re.split(f"{first}(\\d+){last}", span)):
             if k % 2:
-                out.append(kept[int(piece[1:-1])])
+                out.append(kept[int(piece)])
             elif piece:
                 out.append(piece)
         return out
@@ -563,6 +597,7 @@ def parse_latex(text: str) -> Node:
         r"|\\(?:title|author|date)(?=\{)|\\maketitle"
     )
     notes: list[str] = []
+    noted = re.compile(f"{note}(\\d+){end_note}")
 
     def pull(text: str) -> str:
         """The text with a mark for each footnote; the footnotes are put by."""
@@ -570,37 +605,38 @@ def parse_latex(text: str) -> Node:
         while m := _T_NOTE.search(text, at):
             inside, end = _braced(text, m.end())
             notes.append(inside)
-            out += [text[at : m.start()], f"\ue902{len(notes) - 1}\ue903"]
+            out += [text[at : m.start()], f"{note}{len(notes) - 1}{end_note}"]
             at = end
         return "".join([*out, text[at:]])
 
-    def place(tag: str, span: str) -> None:
-        """A block and after it the footnotes met in it, as blocks of their own."""
-        met = re.findall("\ue902(\\d+)\ue903", span)
-        span = re.sub("\ue902\\d+\ue903", "", span)
-        if span.strip():
-            body.parts.append(Node(tag, inline(span)))
-        for n in met:
-            blocks(notes[int(n)])
-
-    def blocks(text: str) -> None:
+    def spans(text: str) -> Iterator[tuple[str, str]]:
         text = pull(text)
         at, tag, run = 0, "p", 0
         while m := mark.search(text, at):
-            place(tag, text[run : m.start()])
+            yield tag, text[run : m.start()]
             at = run = m.end()
             if heading.match(m[0] + "{"):
                 inside, at = _braced(text, m.end())
-                place("h2", inside)
+                yield "h2", inside
                 tag, run = "p", at
             elif m[0].startswith((r"\title", r"\author", r"\date")):
                 at = run = _braced(text, m.end())[1]
                 tag = "p"
             else:
                 tag = "li" if m[0].startswith(r"\item") else "p"
-        place(tag, text[run:])
+        yield tag, text[run:]
 
-    blocks(text)
+    open_spans = [spans(text)]
+    while open_spans:
+        tag, span = next(open_spans[-1], (None, ""))
+        if tag is None:
+            open_spans.pop()
+            continue
+        plain = noted.sub("", span)
+        if plain.strip():
+            body.parts.append(Node(tag, inline(plain)))
+        # After a block follow the footnotes met in it, as blocks of their own.
+        open_spans += [spans(notes[int(n)]) for n in reversed(noted.findall(span))]
     return body
 
 
@@ -636,124 +672,145 @@ def parse(text: str, syntax: str) -> Node:
     return {"html": parse_html, "markdown": parse_markdown, "wiki": parse_wiki, "latex": parse_latex}[syntax](text)
 
 
-def _measure(node: Node, linked: bool = False) -> None:
-    linked = linked or node.tag == "a"
-    for p in node.parts:
-        if isinstance(p, str):
-            n = len(squash(p))
-            node.chars += n
-            node.link_chars += n if linked else 0
-        elif p.tag not in HIDDEN:
-            _measure(p, linked)
-            node.chars += p.chars
-            node.link_chars += p.link_chars
-            node.tags += p.tags + 1
-            node.links += p.links + (p.tag == "a")
-
-
-def _density(node: Node, body: Node) -> None:
-    """Composite text density: characters per tag, damped by the share of link text."""
-    if node.chars:
-        plain = max(1, node.chars - node.link_chars)
-        base = math.log(
-            node.chars * node.link_chars / plain + body.link_chars * node.chars / max(1, body.chars) + math.e
-        )
-        ratio = (node.chars / max(1, node.link_chars)) * (max(1, node.tags) / max(1, node.links))
-        node.density = node.chars / max(1, node.tags) * math.log(max(ratio, 1.0) + 1e-9) / max(base, 1.0)
-    for child in node.nodes():
-        if child.tag not in HIDDEN:
-            _density(child, body)
+def below(node: Node) -> Iterator[Node]:
+    """All nodes under ``node``, parents before children, in order."""
+    todo = node.nodes()[::-1]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += n.nodes()[::-1]
+
+
+def _measure(body: Node) -> list[tuple[Node, Node | None]]:
+    """Fill in characters, tags and densities; gives the visible nodes with their parents, parents first."""
+    order: list[tuple[Node, Node | None]] = []
+    todo: list[tuple[Node, Node | None, bool]] = [(body, None, False)]
+    while todo:
+        node, parent, linked = todo.pop()
+        order.append((node, parent))
+        linked = linked or node.tag == "a"
+        chars, children = 0, []
+        for p in node.parts:
+            if isinstance(p, str):
+                chars += len(squash(p))
+                if not node.telling and "\\" in p or "$$" in p:
+                    node.telling = bool(_FORMULA.search(p))
+            elif p.tag not in HIDDEN:
+                children.append((p, node, linked))
+        node.chars, node.link_chars = chars, chars if linked else 0
+        node.telling = node.telling or node.tag in _TELLING
+        todo += children[::-1]
+    for node, parent in reversed(order):
+        node.spared = node.spared or node.telling and node.tag in ("header", "aside")
+        if parent:
+            parent.spared = parent.spared or node.spared
+            parent.chars += node.chars
+            parent.link_chars += node.link_chars
+            parent.tags += node.tags + 1
+            parent.links += node.links + (node.tag == "a")
+            parent.blocks = parent.blocks or node.blocks or node.tag in BLOCK
+            parent.telling = parent.telling or node.telling
+    pull = body.link_chars / max(1, body.chars)
+    for node, _ in order:
+        if node.chars:
+            # Composite text density: characters per tag, damped by the share of link text.
+            n, links, tags = node.chars, node.link_chars, node.tags or 1
+            base = math.log(n * links / max(1, n - links) + pull * n + math.e)
+            ratio = n / (links or 1) * tags / (node.links or 1)
+            node.density = n / tags * math.log(max(ratio, 1.0) + 1e-9) / max(base, 1.0)
+    return order
 
 
 def content(body: Node) -> Node:
-    """Drop page furniture: the part of the tree off the densest path and below its threshold."""
-    _measure(body)
-    _density(body, body)
-    best, best_sum, best_path = body, -1.0, [body]
-    stack = [(body, [body])]
-    while stack:
-        node, path = stack.pop()
-        total = sum(c.density for c in node.nodes())
-        if total > best_sum:
-            best, best_sum, best_path = node, total, path
-        stack += [(c, [*path, c]) for c in node.nodes() if c.tag not in HIDDEN]
-    threshold = min(n.density for n in best_path)
-    on_path = {id(n) for n in best_path}
+    """The core of the densest path, and what lies beside that path and is dense enough or tells structure."""
+    order = _measure(body)
+    sums: dict[int, float] = dict.fromkeys((id(n) for n, _ in order), 0.0)
+    for node, parent in order:
+        if parent:
+            sums[id(parent)] += node.density
+    core = max((n for n, _ in order), key=lambda n: sums[id(n)])
+    parents = {id(n): p for n, p in order}
+    path, at = [core], core
+    while at := parents[id(at)]:
+        path.append(at)
+    threshold = min(n.density for n in path)
+    on_path = {id(n) for n in path}
 
     def furniture(n: Node) -> bool:
         menu = n.links >= 3 and n.link_chars > 0.8 * n.chars and n.tag in ("ul", "ol", "div", "table", "section")
-        return (menu or n.tag in FURNITURE) and n.density < threshold and not any(map(telling, [n, *_all(n)]))
-
-    def telling(n: Node) -> bool:
-        """A header or aside that holds headings, code or formulas."""
-        if n.tag not in ("header", "aside"):
-            return False
-        return any(c.tag in HEADINGS | _NO_CODE for c in _all(n)) or bool(_FORMULA.search(n.text()))
-
-    def prune(n: Node) -> Node:
-        n.parts = [
-            p if isinstance(p, str) else prune(p)
-            for p in n.parts
-            if isinstance(p, str) or id(p) in on_path or not furniture(p)
-        ]
-        return n
-
-    return prune(body)
+        return (menu or n.tag in FURNITURE) and not n.spared
+
+    def beside(n: Node) -> bool:
+        """A block outside the core that is mostly links and holds no structure."""
+        return n.tag in BLOCK and 2 * n.link_chars > n.chars and not n.telling and n.tag != "li" and not any(c.tag == "li" for c in below(n))
+
+    todo = [body]
+    while todo:
+        node = todo.pop()
+        inside = node is core or id(node) not in on_path
+        node.parts = [
+            p for p in node.parts
+            if isinstance(p, str) or id(p) in on_path or p.density >= threshold or not (furniture(p) or not inside and beside(p))
+        ]
+        todo += node.nodes()
+    return body
 
 
 _FORMULA = re.compile(r"\\\((?P<a>.+?)\\\)|\\\[(?P<b>.+?)\\\]|\$\$(?P<c>.+?)\$\$", re.S)
 _NESTED = frozenset({"ul", "ol", "pre"})
 _NO_CODE = frozenset({"pre", "code", "math"})
+_TELLING = HEADINGS | _NO_CODE
 
 
 def elements(body: Node) -> Iterator[tuple[str, str]]:
-    """``kind, clean_text`` of every structural element, in order."""
+    """``kind, clean_text`` of every structural element, in order; ``body`` is what ``content`` gave."""
+    found: list[tuple[str, str]] = []
+    frames: list[tuple[Iterator, list[str]]] = []
 
-    def walk(node: Node) -> Iterator[tuple[str, str]]:
+    def enter(node: Node) -> None:
+        """Note the element a node is, and open it if there may be more in it."""
         if node.tag in HIDDEN:
             return
         if node.tag == "pre":
-            yield "code", node.text()
+            found.append(("code", node.text()))
             return
         if node.tag == "math":
-            yield "formula", node.text()
+            found.append(("formula", node.text()))
             return
         if node.tag in HEADINGS:
-            yield "heading", _plain(node.text())
+            found.append(("heading", _plain(node.text())))
         elif node.tag == "li":
-            yield "list_item", _plain(node.text(_NESTED))
-        run: list[str] = []
-        for p in node.parts:
-            if isinstance(p, str):
-                run.append(p)
-            elif p.tag in BLOCK:
-                yield from formulas("".join(run))
-                run = []
-                yield from walk(p)
-            elif p.tag not in HIDDEN:
-                inner = list(walk(p)) if any(c.tag in BLOCK for c in _all(p)) else None
-                if inner is None:
-                    run.append("\x00" if p.tag in _NO_CODE else p.text(_NO_CODE))
-                else:
-                    yield from inner
-        yield from formulas("".join(run))
-
-    def formulas(text: str) -> Iterator[tuple[str, str]]:
-        for m in _FORMULA.finditer(text):
-            yield "formula", m["a"] or m["b"] or m["c"]
-
-    for kind, text in walk(body):
-        text = squash(text)
-        if text:
+            found.append(("list_item", _plain(node.text(_NESTED))))
+        frames.append((iter(node.parts), []))
+
+    def formulas(run: list[str]) -> None:
+        text = "".join(run)
+        if "\\" in text or "$$" in text:
+            found.extend(("formula", m["a"] or m["b"] or m["c"]) for m in _FORMULA.finditer(text))
+        run.clear()
+
+    enter(body)
+    while frames:
+        parts, run = frames[-1]
+        p = next(parts, None)
+        if p is None:
+            formulas(run)
+            frames.pop()
+        elif isinstance(p, str):
+            run.append(p)
+        elif p.tag in BLOCK:
+            formulas(run)
+            enter(p)
+        elif p.tag not in HIDDEN:
+            if p.blocks:
+                enter(p)
+            else:
+                run.append("\x00" if p.tag in _NO_CODE else p.text(_NO_CODE))
+    for kind, text in found:
+        if text := squash(text):
             yield kind, text
 
 
-def _all(node: Node) -> Iterator[Node]:
-    for c in node.nodes():
-        yield c
-        yield from _all(c)
-
-
 def _plain(text: str) -> str:
     return _FORMULA.sub(lambda m: m["a"] or m["b"] or m["c"], text)
 
@@ -761,43 +818,40 @@ def _plain(text: str) -> str:
 def clean_text(body: Node) -> str:
     """Readable text that keeps headings, list items, code blocks and formulas."""
     out: list[str] = []
-
-    def walk(node: Node) -> None:
-        run: list[str] = []
-
-        def flush() -> None:
-            line = squash("".join(run))
-            if line:
-                out.append(line)
-            run.clear()
-
-        for p in node.parts:
-            if isinstance(p, str):
-                run.append(p)
-            elif p.tag in HIDDEN:
-                continue
-            elif p.tag in HEADINGS:
-                flush()
-                out.append("# " + squash(_plain(p.text())))
-            elif p.tag == "pre":
-                flush()
-                out.append("```\n" + p.text().strip("\n") + "\n```")
-            elif p.tag == "math":
-                run.append(f"$${squash(p.text())}$$")
-            elif p.tag == "li":
-                flush()
-                out.append("- " + squash(_plain(p.text(_NESTED))))
-                for c in p.nodes():
-                    if c.tag in _NESTED:
-                        walk(Node("div", [c]))
-            elif p.tag in BLOCK or p.nodes():
-                flush()
-                walk(p)
-            else:
-                run.append(p.text())
-        flush()
-
-    walk(body)
+    frames: list[tuple[Iterator, list[str]]] = [(iter(body.parts), [])]
+
+    def flush(run: list[str]) -> None:
+        if line := squash("".join(run)):
+            out.append(line)
+        run.clear()
+
+    while frames:
+        parts, run = frames[-1]
+        p = next(parts, None)
+        if p is None:
+            flush(run)
+            frames.pop()
+        elif isinstance(p, str):
+            run.append(p)
+        elif p.tag in HIDDEN:
+            continue
+        elif p.tag in HEADINGS:
+            flush(run)
+            out.append("# " + squash(_plain(p.text())))
+        elif p.tag == "pre":
+            flush(run)
+            out.append("```\n" + p.text().strip("\n") + "\n```")
+        elif p.tag == "math":
+            run.append(f"$${squash(p.text())}$$")
+        elif p.tag == "li":
+            flush(run)
+            out.append("- " + squash(_plain(p.text(_NESTED))))
+            frames.append((iter([c for c in p.nodes() if c.tag in _NESTED]), []))
+        elif p.tag in BLOCK or p.nodes():
+            flush(run)
+            frames.append((iter(p.parts), []))
+        else:
+            run.append(p.text())
     return "\n".join(out)
 
 
