@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 import time
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -218,15 +220,43 @@ def test_term_frequencies_brute(spark, odd):
     assert termfreq.term_frequencies(odd.limit(0), "id", "text").count() == 0
 
 
-def test_containers_round_trip(spark):
-    sets = [[5], list(range(100)), [0, 1, 2, 9, 32767], list(range(0, 60, 2)), list(range(32768))]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, s array<int>")
-    df = df.withColumn("s", F.sort_array(F.col("s").cast("array<smallint>")))
-    df = df.withColumn("c", termfreq.encode(F.col("s")))
-    for r in df.select("i", termfreq.cardinality(F.col("c")).alias("n"), termfreq.members(F.col("c")).alias("m"), F.size("c.data").alias("size")).collect():
-        assert r.n == len(sets[r.i]) and r.m == sets[r.i]
-        assert r.size <= min(len(sets[r.i]), 32768)
-    assert df.where("i = 4").select(F.size("c.data")).first()[0] == 2
+def test_containers_round_trip():
+    rng = np.random.default_rng(5)
+    sets = [[5], range(100), [0, 1, 2, 9, 32767], range(0, 60, 2), range(32768), range(0, 32768, 2), [], sorted(rng.choice(32768, 5000, False)), [0, 32767]]
+    for s in sets:
+        positions = np.array(s, np.int64)
+        counts = rng.integers(1, 4, len(positions)) if len(positions) else np.zeros(0, np.int64)
+        packed = termfreq.encode(positions, counts)
+        p, n = termfreq.decode(packed)
+        assert p.tolist() == list(s) and n.tolist() == counts.tolist()
+        assert len(packed) <= 12 + 4096 + 6 * len(positions)
+    assert len(termfreq.encode(np.arange(32768), np.ones(32768, int))) == 16
+    assert len(termfreq.encode(np.arange(0, 32768, 2), np.ones(16384, int))) == 12 + 4096  # one bit a record, not 16
+
+
+def test_union_counts_shared_records_once():
+    a = termfreq.encode(np.array([1, 2, 3]), np.array([1, 5, 1]))
+    b = termfreq.encode(np.arange(2, 9000), np.full(8998, 2))
+    p, n = termfreq.decode(termfreq.unite([a, b, a]))
+    assert p.tolist() == list(range(1, 9000)) and n[:3].tolist() == [1, 5, 2]
+
+
+def test_days_unite_to_one_run(spark):
+    rng = random.Random(6)
+    rows = [(f"r{i}", " ".join(rng.choice(["the", "fee", f"id{rng.randrange(200)}"]) for _ in range(rng.randrange(0, 20)))) for i in range(900)]
+    df = spark.createDataFrame(rows + [("rn", None)], "record string, t string")
+    one, two = df.where("hash(record) % 3 != 0"), df.where("hash(record) % 3 != 1")  # a third is in both
+    numbers = termfreq.record_numbers(one, "record")
+    first = termfreq.term_containers(one, "record", "t", numbers)
+    both = termfreq.record_numbers(two, "record", numbers).persist()
+    kept = {r.record: r.record_no for r in both.collect()}
+    assert sorted(kept.values()) == list(range(901)) and all(kept[r.record] == r.record_no for r in numbers.collect())
+    united = termfreq.merge_terms(termfreq.unite_containers(first, termfreq.term_containers(two, "record", "t", both)))
+    whole = termfreq.term_frequencies(df, "record", "t")
+    assert {tuple(r) for r in united.select("term", "occurrences", "records").collect()} == {tuple(r) for r in whole.select("term", "occurrences", "records").collect()}
+    # Small pieces, as of very long texts, change nothing.
+    pieces = list(termfreq._containers(iter([pa.record_batch({"record_no": [1, 40_000], "tokens": [["a", "b", "a"], ["a"]]}), pa.record_batch({"record_no": [40_001], "tokens": pa.array([None], pa.list_(pa.string()))})])))
+    assert [(r["term"], r["block"], r["records"], r["occurrences"]) for p in pieces for r in p.to_pylist()] == [("a", 0, 1, 2), ("b", 0, 1, 1), ("a", 1, 1, 1)]
 
 
 # --- 5 ------------------------------------------------------------------------------
@@ -351,6 +381,35 @@ def test_furniture_goes_by_density():
     assert not {"Home", "Docs", "menu", "Share", "f", "(c)"} & set(text.replace("\n", " ").split())
 
 
+@pytest.mark.parametrize("n", [2_000, 30_000])
+def test_trees_may_be_deep(n):
+    for source, text, want in (
+        ("x.html", "<div>" * n + "<h2>Deep</h2><p>in \\(x\\)" + "</div>" * n, {("heading", "Deep"), ("formula", "x")}),
+        ("x.html", "<b><i>" * (n // 2) + "<ul><li>one" * 40, {("list_item", "one")}),
+        ("x.md", ">" * n + " # Deep\n" + "> " * n + "- one\n", {("heading", "Deep"), ("list_item", "one")}),
+        ("x.md", "> a\n" * 50 + "\n" + "\n\n".join(">" * k + " # h" for k in range(1, 60)), {("heading", "h")}),
+        ("x.wiki", "<div>" * n + "<h3>Deep</h3>", {("heading", "Deep")}),
+        ("x.tex", "a" + "\\footnote{b" * 300 + "$x$" + "}" * 300, {("formula", "x")}),
+    ):
+        tree = markup.read_document(text, source, None)[1]
+        assert set(markup.elements(tree)) == want, source
+        assert markup.clean_text(tree)
+
+
+@pytest.mark.parametrize("source", ["x.md", "x.wiki", "x.tex", "x.html"])
+def test_private_characters_are_text(source):
+    odd = "foo \ue900 7 \ue901 \ue9007\ue901 \ue9000\ue901 \ue902 bar &#xE900;0&#xE901;"
+    heading = {"x.md": "# H `c`\n\n%s $x$ **b**", "x.wiki": "==H c==\n%s <math>x</math> <nowiki>n</nowiki>", "x.tex": "\\section{H c}\n%s $x$ \\verb|n|", "x.html": "<h1>H c</h1><p>%s \\(x\\)</p>"}[source]
+    tree = markup.read_document(heading % odd, source, None)[1]
+    assert set(markup.elements(tree)) == {("heading", "H c"), ("formula", "x")}
+    assert "foo \ue900 7 \ue901 \ue9007\ue901 \ue9000\ue901 \ue902 bar" in markup.clean_text(tree)
+
+
+def test_escapes_of_page_blocks_in_wiki():
+    tree = markup.read_document("==H==\n<ul>\n<li>A &lt; B &amp;amp; C</li>\n</ul>\n", "x.wiki", None)[1]
+    assert set(markup.elements(tree)) == {("heading", "H"), ("list_item", "A < B &amp; C")}
+
+
 def test_markup_tables(odd):
     assert markup.markup_elements(odd, "id", "text", None, None).where("doc_id in ('d0','d1','d2')").count() == 0
     for suffix in ("md", "html", "wiki", "tex"):
@@ -525,19 +584,65 @@ def test_cutoffs_count_every_sentence(spark):
     docs = [(i, " ".join(make(rng, rng.choice([None, "law", "sport"]), 40 + i % 30))) for i in range(80)] + [(99, None)]
     ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     model = subjects.fit_subjects(ddf, spark.createDataFrame(examples, "subject string, text string"))
-    rows = [f for _, t in docs for f in map(subjects.features, subjects.sentences_of(t)) if f]
-    counted = subjects.count_scores(ddf, model)
-    assert sum(counted.values()) == len(rows) == sum(40 + i % 30 for i in range(80))
-    assert counted == subjects.score_counts(model, rows)
-    cutoff = model.cutoff
+    bag = subjects.features([x for xs in subjects.sentences_of_batch([t for _, t in docs]) for x in xs])
+    counted = subjects.count_scores(subjects.scored(ddf, model))
+    assert sum(counted.values()) == (bag.lengths > 0).sum() == sum(40 + i % 30 for i in range(80))
+    assert counted == subjects.score_counts(model, bag)
     subjects.calibrate(model, counted)
-    assert list(cutoff) == list(model.cutoff)
+    labels = model.labels(bag)
+    shares = {(r.doc_id, r.subject): r.share for r in subjects.subject_shares(ddf, model).collect()}
+    at = 0
+    for i in range(80):
+        mine = labels[at : at + 40 + i % 30]
+        at += len(mine)
+        for j, s in enumerate(model.subjects):
+            assert shares.get((i, s), 0.0) == pytest.approx((mine == j).mean(), abs=1 / len(mine) + 1e-9)  # a score in the cut-off's own bin
+
+
+def brute_features(sentence: str) -> int:
+    """Number of distinct n-grams of a sentence, by strings."""
+    out, words = set(), []
+    for token in subjects._TOKEN.findall(subjects.fold(sentence)):
+        runs = re.findall(r"[^\W\d_]+", token)
+        if subjects._WIDE.search(token):
+            for part in (p for run in runs for p in subjects._SCRIPTS.findall(run)):
+                out.update(("c", part[i : i + n]) for n in (2, 3, 4) for i in range(len(part) - n + 1))
+                out.update([("w", part)] * (len(part) > 4))
+        elif len(runs) == 1 and not (re.match("[a-z]", token) and re.search(r"\d", token)):
+            words += runs
+    return len(out | {("w", w) for w in words} | {("b", *x) for x in zip(words, words[1:], strict=False)})
+
+
+def test_features_by_batch():
+    texts = ["The court ruled. The court", "", "１２ 3", "返金は三日かかります。カタカナの語", "ab\x00cd ef", "การคืนเงิน abc", "Court the ruled", "환불은 사흘 걸립니다", "BÃ©twÃ©Ã©n id77x req-12 3rd multi-part"]
+    bag = subjects.features(texts)
+    assert bag.lengths.tolist() == [brute_features(t) for t in texts]
+    for i, t in enumerate(texts):  # the neighbours in a batch do not matter
+        alone = subjects.features([t])
+        assert alone.slots.tolist() == bag.slots[bag.owner == i].tolist()
+    assert len(subjects.features([])) == 0
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("d")).repartition(5)
+    strata = F.when(F.col("d") % 10 == 0, "a").otherwise("b")
+    got = {r.d for r in subjects.hash_sample(df, "d", strata, {"a": 300, "b": 1000}).collect()}
+    a = sum(int(x) % 10 == 0 for x in got)
+    assert 120 <= a <= 300 and 420 <= len(got) - a <= 1000
+    assert got == {r.d for r in subjects.hash_sample(df.repartition(3), "d", strata, {"a": 300, "b": 1000}).collect()}
+    assert subjects.hash_sample(df, "d", strata, {"a": 20_000, "b": 20_000}).count() == 20_000
+
+
+def test_share_cutoff_finds_the_gap(spark):
+    rows = [(0.115 + 0.0001 * i,) for i in range(100)] + [(0.16 + 0.0004 * i,) for i in range(100)]
+    assert 0.125 <= subjects.share_cutoff(spark.createDataFrame(rows, "share double")) <= 0.16
+    assert subjects.share_cutoff(spark.createDataFrame([], "share double")) == pytest.approx((1 / 9 + 1 / 5) / 2, abs=0.003)
 
 
 def test_damaged_text_folds_alike():
     assert subjects.fold("BÃ©twÃ©Ã©n") == subjects.fold("between") == subjects.fold("bétwéén")
     assert subjects.fold("ＲＥＦＥＲＥＮＣＩＡ") == "referencia"
-    assert subjects.sentences_of(None) == subjects.sentences_of("") == []
+    assert subjects.sentences_of_batch([None, ""]) == [[], []]
 
 
 # --- queries ---------------------------------------------------------------------------
