@@ -73,5 +73,5 @@ def check(config: dict) -> None:
 
 def missing_requirements(config: dict, have: set[str]) -> list[str]:
     """What the chosen providers need and ``have`` lacks."""
-    chosen = {config[s].get("provider") for s in ("embedding", "rerank", "generation")}
+    chosen = {config.get(s, {}).get("provider") for s in ("embedding", "rerank", "generation")}
     return sorted({NEEDS[p] for p in chosen if p in NEEDS} - have)

@@ -1,13 +1,14 @@
 """Gates, context, extractive answers, citations and confidence, for many questions at once.
 
-Everything before the generator is native: gates drop questions before any generator
-sees them.  Each remaining question is one row with at most ``top_n`` passages (so
-its size is bounded by configuration), and the generator runs over Arrow batches of them.
+The whole chain is a plan over tables: gates drop questions before any generator sees
+them, sentences of all passages are scored as rows, and only what belongs to one
+question (at most ``top_n`` passages within the context budget, so bounded by configuration) is ever
+gathered into one row.  Python runs only in generators that call a model.  Between the stages the few rows of a
+question are written to the checkpoint folder, which keeps the plans small and each passage tokenised once.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,8 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sentences import py_best_sentence, py_claims, py_sentences, py_truncate
-from ..functions.text import MARKER, NUMERIC_QUESTION, SCAFFOLDING, py_lexical, py_stem, topical_tokens, truncate
+from ..functions.sentences import best_sentences, claims, split_sentences
+from ..functions.text import MARKER, is_numeric_question, lexical_tokens, strip, topical_tokens, truncate, without_markers
+from ..session import cut_lineage
+from .evaluation import overlap_ratio
 from .rerank import term_weights
 from .sparse import SparseIndex
 
@@ -98,11 +101,9 @@ def render_context(blocks: Column) -> Column:
 
 # --- generators -----------------------------------------------------------------
 
-_MARKER = re.compile(MARKER, re.I)
-_NUMERIC = re.compile(NUMERIC_QUESTION)
-_LIST = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
-_ENDED = re.compile(r"[.!?][\"'*_)\]]*$")
-_SKIP = frozenset(py_stem(w) for w in SCAFFOLDING)
+LIST_MARK = r"^\s*(?:[-*+]|\d+[.)])\s+"
+ENDED = r"[.!?][\"'*_)\]]*$"
+MADE = "qid string, made string, input_tokens int, output_tokens int, model string, latency_ms double"
 
 
 @dataclass
@@ -113,14 +114,13 @@ class Generated:
     model: str = ""
 
 
-def sentence_score(tokens: list[str], wanted: set[str], bonus: bool) -> float:
-    """Coverage and density of a sentence; a digit helps a question for a number."""
-    if not tokens:
-        return 0.0
-    coverage = len(wanted.intersection(tokens)) / len(wanted) if wanted else 0.0
-    density = sum(t in wanted for t in tokens) / len(tokens) ** 0.5
-    score = 0.7 * coverage + 0.3 * min(density, 1.0) + (0.15 if bonus else 0.0)
-    return score * 0.5 if len(tokens) < 4 else score
+def sentence_score(tokens: Column, wanted: Column, bonus: Column) -> Column:
+    """Coverage and density of a sentence; a digit helps a question for a number; under four terms count half."""
+    n = F.size(tokens)
+    coverage = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, tokens)) / F.size(wanted)).otherwise(0.0)
+    density = F.size(F.filter(tokens, lambda t: F.array_contains(wanted, t))) / F.sqrt(n)
+    score = 0.7 * coverage + 0.3 * F.least(density, F.lit(1.0)) + F.when(bonus, 0.15).otherwise(0.0)
+    return F.when(n == 0, 0.0).when(n < 4, score * 0.5).otherwise(score)
 
 
 @dataclass
@@ -132,43 +132,56 @@ class ExtractiveGenerator:
     marginal_ratio: float = 0.65
     model: str = "extractive-v1"
 
-    def candidates(self, question: str, blocks: list[tuple[int, str]]) -> list[tuple[float, int, str, set[str]]]:
-        wanted = {t for t in py_lexical(question) if t not in _SKIP}
-        numeric = bool(_NUMERIC.search(question))
-        found = []
-        for marker, body in blocks:
-            for sentence in map(str.strip, py_sentences(body)):
-                if not sentence or sentence.startswith(("|", "```", "~~~", "#")):
-                    continue
-                clean = _LIST.sub("", sentence)
-                tokens = py_lexical(clean)
-                score = sentence_score(tokens, wanted, numeric and any(c.isdigit() for c in clean))
-                if clean and score > 0:
-                    found.append((score, marker, clean, wanted.intersection(tokens)))
-        return sorted(found, key=lambda c: -c[0])
-
-    def generate(self, question: str, blocks: list[tuple[int, str]], gates: Gates) -> Generated:
-        found = self.candidates(question, blocks)
-        if not found or found[0][0] < self.min_relevance:
-            return Generated(gates.refusal_marker, model=self.model)
-        floor = max(self.min_relevance, found[0][0] * self.marginal_ratio)
-        chosen, covered = [found[0]], set(found[0][3])
-        for c in found[1:]:
-            if len(chosen) >= self.max_sentences or c[0] < floor:
-                break
-            need = 2 if any(x[1] == c[1] for x in chosen) else 1
-            if len(c[3] - covered) >= need:
-                chosen.append(c)
-                covered |= c[3]
-        parts = []
-        for _, marker, sentence, _ in sorted(chosen, key=lambda c: c[1]):
-            if sentence.endswith((":", ";")):
-                sentence = sentence[:-1] + "."
-            elif not _ENDED.search(sentence):
-                sentence += "."
-            parts.append(f"{sentence} [S{marker}]")
-        text = " ".join(parts)
-        return Generated(text, sum(len(py_lexical(b)) for _, b in blocks), len(py_lexical(text)), self.model)
+    def candidates(self, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+        """``qid, marker_no, pos, sentence, hits, score`` of every sentence that has anything to say."""
+        wanted = asked.select(
+            "qid", F.array_distinct(topical_tokens(F.col("question"))).alias("wanted"), is_numeric_question(F.col("question")).alias("numeric")
+        )
+        rows = blocks.select("qid", "marker_no", F.posexplode(split_sentences(F.col("body"))).alias("pos", "raw"))
+        rows = rows.where(~F.col("raw").rlike(r"^(?:\||```|~~~|#)")).withColumn("sentence", F.regexp_replace("raw", LIST_MARK, ""))
+        rows = rows.where(F.col("sentence") != "").withColumn("tokens", lexical_tokens(F.col("sentence")))
+        rows = cut_lineage(rows).join(wanted, "qid")  # else each use of the tokens would stem them anew
+        bonus = F.col("numeric") & F.col("sentence").rlike(r"\d")
+        rows = rows.withColumn("score", sentence_score(F.col("tokens"), F.col("wanted"), bonus)).where(F.col("score") > 0)
+        return rows.select("qid", "marker_no", "pos", "sentence", F.array_intersect("wanted", "tokens").alias("hits"), "score")
+
+    def _picked(self, ranked: Column) -> Column:
+        """Sentences that add terms, from the best on: one new term, or two where the passage is quoted already."""
+        floor = F.greatest(F.lit(self.min_relevance), ranked[0]["score"] * self.marginal_ratio)
+
+        def step(state: Column, c: Column) -> Column:
+            need = F.when(F.exists(state["chosen"], lambda x: x["marker_no"] == c["marker_no"]), 2).otherwise(1)
+            adds = (F.size(state["chosen"]) == 0) | (F.size(F.array_except(c["hits"], state["covered"])) >= need)
+            take = adds & (F.size(state["chosen"]) < self.max_sentences)
+            quoted = F.struct(c["marker_no"].alias("marker_no"), F.size(state["chosen"]).alias("at"), c["sentence"].alias("sentence"))
+            return F.struct(
+                F.when(take, F.concat(state["chosen"], F.array(quoted))).otherwise(state["chosen"]).alias("chosen"),
+                F.when(take, F.array_union(state["covered"], c["hits"])).otherwise(state["covered"]).alias("covered"),
+            )
+
+        start = F.struct(
+            F.array().cast("array<struct<marker_no:int,at:int,sentence:string>>").alias("chosen"), F.array().cast("array<string>").alias("covered")
+        )
+        return F.aggregate(F.filter(ranked, lambda c: c["score"] >= floor), start, step, lambda state: F.sort_array(state["chosen"]))
+
+    def write(self, asked: DataFrame, blocks: DataFrame, gates: Gates) -> DataFrame:
+        """The refusal marker where no sentence is relevant enough."""
+        order = F.struct((-F.col("score")).alias("neg"), "marker_no", "pos", "sentence", "hits", "score")
+        found = self.candidates(asked, blocks).groupBy("qid").agg(F.sort_array(F.collect_list(order)).alias("ranked"))
+        found = found.where(F.col("ranked")[0]["score"] >= self.min_relevance).select("qid", self._picked(F.col("ranked")).alias("picked"))
+        full = lambda s: (
+            F.when(s.rlike("[:;]$"), F.concat(F.regexp_replace(s, "[:;]$", ""), F.lit("."))).when(s.rlike(ENDED), s).otherwise(F.concat(s, F.lit(".")))
+        )
+        quote = lambda p: F.concat(full(p["sentence"]), F.lit(" [S"), p["marker_no"].cast("string"), F.lit("]"))
+        found = found.select("qid", F.array_join(F.transform("picked", quote), " ").alias("text"))
+        read = blocks.groupBy("qid").agg(F.sum(F.size("terms")).cast("int").alias("read"))
+        made = asked.select("qid").join(found, "qid", "left").join(read, "qid", "left")
+        said = F.col("text").isNotNull()
+        return made.select(
+            "qid", F.coalesce("text", F.lit(gates.refusal_marker)).alias("made"), F.when(said, F.coalesce("read", F.lit(0))).otherwise(0).alias("input_tokens"),
+            F.when(said, F.size(lexical_tokens(F.col("text")))).otherwise(0).alias("output_tokens"), F.lit(self.model).alias("model"),
+            F.lit(None).cast("double").alias("latency_ms"),
+        )
 
 
 @dataclass
@@ -179,93 +192,121 @@ class ScriptedGenerator:
     model: str = "scripted"
     calls: list = field(default_factory=list)
 
-    def generate(self, question: str, blocks: list[tuple[int, str]], gates: Gates) -> Generated:
-        return Generated(self.text, 100, 20, self.model)
+    def write(self, asked: DataFrame, blocks: DataFrame, gates: Gates) -> DataFrame:
+        return asked.select(
+            "qid", F.lit(self.text).cast("string").alias("made"), F.lit(100).alias("input_tokens"), F.lit(20).alias("output_tokens"),
+            F.lit(self.model).alias("model"), F.lit(None).cast("double").alias("latency_ms"),
+        )
+
+
+def written_by(generate, asked: DataFrame, blocks: DataFrame, gates: Gates) -> DataFrame:
+    """Texts of a model: ``generate(question, [(marker_no, body)], gates) -> Generated``, timed, one call a question."""
+    per_q = blocks.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("marker_no", "body"))).alias("blocks"))
+    rows = asked.select("qid", F.coalesce("question", F.lit("")).alias("question")).join(per_q, "qid")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for pdf in batches:
+            out = []
+            for qid, question, bs in pdf.itertuples(index=False):
+                began = time.perf_counter()
+                made = generate(question, [(int(b["marker_no"]), b["body"]) for b in bs], gates)
+                out.append((qid, made.text, made.input_tokens, made.output_tokens, made.model, (time.perf_counter() - began) * 1000))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MADE.split(", ")])
+
+    return rows.mapInPandas(run, MADE)
 
 
 # --- validation, grounding, citations ---------------------------------------------
 
 
-def finish(question: str, blocks: list[dict], made: Generated, gates: Gates) -> dict:
-    """Answer row from what a generator wrote: first failing gate wins."""
-    out = {
-        "text": gates.refusal_message, "reason": None, "confidence": 0.0, "grounding": 0.0, "citations": [],
-        "input_tokens": made.input_tokens, "output_tokens": made.output_tokens, "model": made.model,
-    }
-    text = (made.text or "").strip()
-    if not text:
-        return out | {"reason": "empty_response"}
-    if gates.refusal_marker in text:
-        return out | {"reason": "model_refusal"}
-    known = {b["marker_no"]: b for b in blocks}
-    used = list(dict.fromkeys(int(n) for n in _MARKER.findall(text) if int(n) in known))
-    strange = {n for n in _MARKER.findall(text) if int(n) not in known or str(int(n)) != n}
-    if strange - {str(n) for n in known}:
-        text = _MARKER.sub(lambda m: "" if m[1] in strange else m[0], text)
-        text = re.sub(r"[ \t]{2,}", " ", text).strip()
-    if gates.require_citations and not used:
-        return out | {"reason": "no_citations"}
-    cited = [known[n] for n in used]
-    support = set(py_lexical("\n".join(b["body"] for b in (cited or blocks))))
-    prose = py_lexical(_MARKER.sub("", text))
-    grounding = round(sum(t in support for t in prose) / len(prose), 4) if prose and support else 0.0
-    if grounding < gates.min_grounding:
-        return out | {"reason": "low_grounding", "grounding": grounding}
-    claims = py_claims(text)
-    citations = [
-        {
-            "marker": f"S{b['marker_no']}", "chunk_id": b["chunk_id"], "source": b["source"], "title": b["title"], "section": b["section"],
-            "quote": py_truncate(py_best_sentence(claims.get(f"S{b['marker_no']}") or question, b["body"]), gates.quote_chars),
-            "score": b["score"],
-        }
-        for b in cited
-    ]
-    agree = sum(b["retriever"] == "hybrid" for b in cited) / len(cited) if cited else 0.0
-    sure = round(min(1.0, 0.5 * grounding + 0.25 * min(len(cited) / 2, 1.0) + 0.25 * agree), 4)
-    return out | {"text": text, "grounding": grounding, "citations": citations, "confidence": sure}
-
-
-ANSWER = (
-    "qid string, text string, reason string, confidence double, grounding double, "
-    "citations array<struct<marker:string,chunk_id:string,source:string,title:string,section:string,quote:string,score:double>>, "
-    "input_tokens int, output_tokens int, model string"
-)
+def validated(made: Column, known: Column) -> tuple[Column, Column]:
+    """Text without markers of passages that were never given, and the numbers of the valid ones in order of use.
+
+    ``known`` are the given markers as strings; ``S01`` is not ``S1``.
+    """
+    said = F.regexp_extract_all(made, F.lit("(?i)" + MARKER), 1)
+    used = F.array_distinct(F.filter(said, lambda n: F.array_contains(known, n)))
+    strange = F.array_distinct(F.filter(said, lambda n: ~F.array_contains(known, n)))
+    drop = lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?i)\[\s*S"), n, F.lit(r"\s*\]")), F.lit(""))
+    cleaned = strip(F.regexp_replace(F.aggregate(strange, made, drop), r"[ \t]{2,}", " "))
+    return F.when(F.size(strange) > 0, cleaned).otherwise(made), F.transform(used, lambda n: n.cast("int"))
+
+
+def finish(asked: DataFrame, blocks: DataFrame, made: DataFrame, gates: Gates = Gates()) -> DataFrame:
+    """Answer rows from what a generator wrote: the first failing gate wins."""
+    one = F.struct("marker_no", "body", "chunk_id", "source", "title", "section", F.col("score").cast("double").alias("score"), "retriever", "terms")
+    given = blocks.groupBy("qid").agg(F.sort_array(F.collect_list(one)).alias("blocks"))
+    rows = asked.select("qid", "question").join(made, "qid").join(given, "qid").withColumn("said", strip(F.coalesce("made", F.lit(""))))
+    text, used = validated(F.col("said"), F.transform("blocks", lambda b: b["marker_no"].cast("string")))
+    rows = rows.withColumns({"text": text, "used": used})
+    rows = rows.withColumn("cited", F.transform("used", lambda n: F.element_at(F.filter("blocks", lambda b: b["marker_no"] == n), 1)))
+    shown = F.when(F.size("cited") > 0, F.col("cited")).otherwise(F.col("blocks"))
+    rows = rows.withColumns({
+        "_prose": lexical_tokens(without_markers(F.col("text"))),
+        "_support": F.array_distinct(F.flatten(F.transform(shown, lambda b: b["terms"]))),
+    })
+    rows = cut_lineage(rows)
+    rows = rows.withColumn("grounding", F.round(overlap_ratio(F.col("_prose"), F.col("_support")), 4)).drop("_prose", "_support")
+    reason = (
+        F.when(F.col("said") == "", "empty_response")
+        .when(F.col("said").contains(gates.refusal_marker), "model_refusal")
+        .when(F.lit(gates.require_citations) & (F.size("used") == 0), "no_citations")
+        .when(F.col("grounding") < gates.min_grounding, "low_grounding")
+    )
+    rows = rows.withColumn("reason", reason)
+    # Each cited passage is quoted by its sentence closest to the claim it stands for.
+    wanted = rows.where(F.col("reason").isNull()).withColumn("claims", claims(F.col("text")))
+    wanted = wanted.select("qid", "question", "claims", F.posexplode("cited").alias("at", "b"))
+    claim = F.col("claims")[F.concat(F.lit("S"), F.col("b.marker_no").cast("string"))]
+    wanted = wanted.withColumn("_claim", F.coalesce(F.when(claim != "", claim), F.coalesce("question", F.lit(""))))
+    quotes = best_sentences(wanted, ["qid", "at", "b"], F.col("_claim"), F.col("b.body"), "quote")
+    citation = F.struct(
+        F.concat(F.lit("S"), F.col("b.marker_no").cast("string")).alias("marker"), F.col("b.chunk_id").alias("chunk_id"), F.col("b.source").alias("source"),
+        F.col("b.title").alias("title"), F.col("b.section").alias("section"), truncate(F.col("quote"), gates.quote_chars).alias("quote"), F.col("b.score").alias("score"),
+    )
+    quoted = quotes.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("at", citation.alias("c")))).alias("cs"))
+    rows = rows.join(quoted.select("qid", F.col("cs.c").alias("citations")), "qid", "left")
+    n = F.size("cited")
+    agree = F.when(n > 0, F.size(F.filter("cited", lambda b: b["retriever"] == "hybrid")) / n).otherwise(0.0)
+    sure = F.round(F.least(F.lit(1.0), 0.5 * F.col("grounding") + 0.25 * F.least(n / 2, F.lit(1.0)) + 0.25 * agree), 4)
+    fine, low = F.col("reason").isNull(), F.col("reason") == "low_grounding"
+    return rows.select(
+        "qid", F.when(fine, F.col("text")).otherwise(F.lit(gates.refusal_message)).alias("text"), "reason", F.when(fine, sure).otherwise(0.0).alias("confidence"),
+        F.when(fine | low, F.col("grounding")).otherwise(0.0).alias("grounding"), F.coalesce("citations", F.array().cast(CITATIONS)).alias("citations"),
+        "input_tokens", "output_tokens", "model", "latency_ms",
+    )
+
+
+CITATIONS = "array<struct<marker:string,chunk_id:string,source:string,title:string,section:string,quote:string,score:double>>"
+RETRIEVED = "array<struct<rank:int,chunk_id:string,source:string,title:string,section:string,score:double,retriever:string>>"
 
 
 def answer_questions(
     questions: DataFrame, ranked: DataFrame, index: SparseIndex | None, gates: Gates = Gates(), generator=None
 ) -> DataFrame:
-    """One row per question: a cited answer, or the refusal message with a reason.
+    """One row per question: a cited answer, or the refusal message with a reason; either with what was ``retrieved``.
 
-    ``ranked`` has ``qid, chunk_id, source, title, section, text, score, rank, retriever``.
+    ``ranked`` has ``qid, chunk_id, source, title, section, text, score, rank, retriever``. ``latency_ms`` is the time of
+    the model's call, NULL without one.
     """
     generator = generator or ExtractiveGenerator()
     first = relevance(questions, ranked, gates).select("qid", F.col("reason").alias("r1"))
     second = coverage_gate(question_coverage(questions, index), gates).select("qid", F.col("reason").alias("r2"))
     gated = questions.select("qid", "question").join(first, "qid").join(second, "qid").withColumn("reason", F.coalesce("r1", "r2"))
-    blocks = context_blocks(ranked, gates).groupBy("qid").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("marker_no", "body", "chunk_id", "source", "title", "section", F.col("score").cast("double").alias("score"), "retriever")
-            )
-        ).alias("blocks")
-    )
-    open_rows = gated.where(F.col("reason").isNull()).join(blocks, "qid").select("qid", "question", "blocks")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ANSWER.split(", ")]
-        for pdf in batches:
-            rows = []
-            for qid, question, bs in pdf.itertuples(index=False):
-                bs = [dict(b) if not hasattr(b, "asDict") else b.asDict() for b in bs]
-                made = generator.generate(question or "", [(b["marker_no"], b["body"]) for b in bs], gates)
-                rows.append({"qid": qid} | finish(question or "", bs, made, gates))
-            yield pd.DataFrame(rows, columns=names)
-
-    answered = open_rows.mapInPandas(run, ANSWER)
+    gated = cut_lineage(gated)
+    asked = gated.where(F.col("reason").isNull()).select("qid", "question")
+    # A few passages per question, read by several stages; their terms are taken once.
+    blocks = context_blocks(ranked, gates).join(asked.select("qid"), "qid", "left_semi").withColumn("terms", lexical_tokens(F.col("body")))
+    blocks = cut_lineage(blocks)
+    answered = finish(asked, blocks, generator.write(asked, blocks, gates), gates)
     refused = gated.where(F.col("reason").isNotNull()).select(
         "qid", F.lit(gates.refusal_message).alias("text"), "reason", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("grounding"),
-        F.array().cast(answered.schema["citations"].dataType).alias("citations"),
-        F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit("").alias("model"),
+        F.array().cast(CITATIONS).alias("citations"), F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit("").alias("model"),
+        F.lit(None).cast("double").alias("latency_ms"),
     )
-    return answered.unionByName(refused)
+    seen = F.struct("rank", "chunk_id", "source", "title", "section", F.col("score").cast("double").alias("score"), "retriever")
+    retrieved = ranked.groupBy("qid").agg(F.sort_array(F.collect_list(seen)).alias("retrieved"))
+    both = answered.unionByName(refused).join(retrieved, "qid", "left")
+    return both.withColumn("retrieved", F.coalesce("retrieved", F.array().cast(RETRIEVED)))

@@ -1,9 +1,10 @@
-"""Dense vectors: hashing embedder, L2 norm, exact cosine search in blocks, store upkeep."""
+"""Dense vectors: hashing embedder, L2 norm, exact cosine search in blocks, approximate search by cells."""
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,8 +18,10 @@ from ..session import is_small
 from .sparse import top_k
 
 DIMENSION = 512
-#: Queries held by one pass; more queries take more passes over the vectors.
+#: Up to so many queries are sent to all vectors where they lie; more meet the vectors block by block.
 QUERY_BLOCK = 8192
+#: Vectors and queries of one pair of blocks.
+PAIR_BLOCK = 16_384
 
 
 @lru_cache(maxsize=300_000)
@@ -33,9 +36,7 @@ def hash_vector(text: str | None, dimension: int = DIMENSION) -> np.ndarray:
     if not words:
         return vector
     flat = py_normalize(text)
-    weighted = [
-        (f"w:{w}", (1 + math.log(n)) * (1 + 0.1 * min(len(w), 12))) for w, n in pd.Series(words).value_counts(sort=False).items()
-    ]
+    weighted = [(f"w:{w}", (1 + math.log(n)) * (1 + 0.1 * min(len(w), 12))) for w, n in Counter(words).items()]
     weighted += [(f"b:{a}_{b}", 1.4) for a, b in zip(words, words[1:], strict=False)]
     weighted += [(f"c:{flat[i : i + 4]}", 0.35) for i in range(len(flat) - 3)]
     hashed = np.fromiter((_hash(f) for f, _ in weighted), np.uint64)
@@ -88,60 +89,180 @@ def l2_normalize(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+class Best:
+    """The best ``k`` of all vectors shown so far for each query; among equals those shown first."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.q, self.k = unit(queries.astype(np.float64)), k
+        self.scores = np.zeros((len(self.q), 0))
+        self.keys = np.zeros((len(self.q), 0), object)
+
+    def show(self, keys: np.ndarray, vectors: np.ndarray, step: int = 2048) -> None:
+        for at in range(0, len(keys), step):
+            fresh = self.q @ unit(vectors[at : at + step].astype(np.float64)).T
+            scores = np.hstack([self.scores, fresh])
+            names = np.hstack([self.keys, np.broadcast_to(keys[at : at + step], fresh.shape)])
+            if scores.shape[1] > self.k:
+                rounded = np.round(scores, 6)
+                least = np.partition(rounded, -self.k, axis=1)[:, [-self.k]]
+                over, same = rounded > least, rounded == least
+                room = self.k - over.sum(axis=1, keepdims=True)
+                column = np.nonzero(over | same & (np.cumsum(same, axis=1) <= room))[1].reshape(-1, self.k)
+                scores, names = np.take_along_axis(scores, column, 1), np.take_along_axis(names, column, 1)
+            self.scores, self.keys = scores, names
+
+    def rows(self, names: np.ndarray) -> pd.DataFrame:
+        """``q, k, score``; zero queries find nothing."""
+        live = np.linalg.norm(self.q, axis=1) > 0
+        width = self.scores.shape[1]
+        plain = lambda x: pd.Series(x, dtype=object)
+        return pd.DataFrame({"q": plain(np.repeat(names[live], width)), "k": plain(self.keys[live].ravel()), "score": self.scores[live].ravel()})
+
+
+def _sent_to_all(vectors: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
+    """Few queries (the caller has counted them): each task walks its own vectors once and keeps its best."""
+    rows = asked.orderBy("q").collect()
+    shared = vectors.sparkSession.sparkContext.broadcast(
+        (np.array([r["q"] for r in rows], object), np.array([r["v"] for r in rows], np.float32))
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = shared.value
+        best = Best(q, k)
+        for pdf in batches:
+            if len(pdf):
+                best.show(pdf["k"].to_numpy(object), np.vstack(pdf["v"].to_numpy()))
+        yield best.rows(names)
+
+    return vectors.sortWithinPartitions("k").mapInPandas(run, schema)
+
+
+def _block_pairs(vectors: DataFrame, asked: DataFrame, n_vectors: int, n_asked: int, k: int, schema: str, block: int) -> DataFrame:
+    """Many queries: every block of vectors meets every block of queries in a task of its own."""
+    vb, qb = max(1, -(-n_vectors // block)), max(1, -(-n_asked // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select("k", "v", F.pmod(F.xxhash64("k"), F.lit(vb)).cast("int").alias("vb"), every(qb).alias("qb"))
+    right = asked.select("q", F.col("v").alias("qv"), F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("qb"), every(vb).alias("vb"))
+
+    def pair(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if vs.empty or qs.empty:
+            return pd.DataFrame({"q": [], "k": [], "score": []})
+        vs = vs.sort_values("k")
+        best = Best(np.vstack(qs["qv"].to_numpy()), k)
+        best.show(vs["k"].to_numpy(object), np.vstack(vs["v"].to_numpy()))
+        return best.rows(qs["q"].to_numpy(object))
+
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
+
+
 def cosine_top_k(
     vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vec: str = "vec", qid: str = "qid", qvec: str = "vec",
     allowed: DataFrame | None = None, block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """``qid, key, score, rank``: exact cosine top-k of each query.
 
-    Queries go in blocks of at most ``block`` vectors, which bounds what a task holds; each
-    Arrow batch keeps its own best ``k`` before anything is shuffled. Zero and NULL
+    At most ``block`` queries are sent to the vectors, which stay where they are; more queries and the vectors are cut
+    into blocks that meet pair by pair, so neither a task nor the driver ever holds more than a block. A task keeps only its
+    best ``k`` for each query before anything is merged. Zero and NULL
     queries find nothing; NULL vectors are never found; ``allowed`` filters first.
     """
     if allowed is not None:
         vectors = vectors.join(allowed.select(key).distinct(), key, "left_semi")
-    spark = vectors.sparkSession
     kind, qkind = (d.schema[c].dataType.simpleString() for d, c in ((vectors, key), (queries, qid)))
-    # Query vectors are fetched block by block; the driver never holds more than one.
-    out = None
-    source = queries.select(F.col(qid).alias("q"), F.col(qvec).cast("array<float>").alias("v"))
-    source = source.where(F.col("v").isNotNull()).persist()
-    pending: list = []
-
-    def one_pass(rows: list) -> DataFrame:
-        ids = np.array([r["q"] for r in rows], dtype=object)
-        matrix = unit(np.array([r["v"] for r in rows], np.float64))
-        shared = spark.sparkContext.broadcast((ids, matrix))  # at most ``block`` vectors
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            live = np.linalg.norm(q, axis=1) > 0
-            for pdf in batches:
-                s = q @ unit(np.vstack(pdf["v"].to_numpy()).astype(np.float64)).T
-                keep = min(k, s.shape[1])
-                if keep <= 0:
-                    continue
-                order = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, :keep]
-                line = np.nonzero(live)[0]
-                yield pd.DataFrame({
-                    "q": names[np.repeat(line, keep)], "k": pdf["k"].to_numpy()[order[line].ravel()],
-                    "score": s[np.repeat(line, keep), order[line].ravel()],
-                })
-
-        rows_in = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<float>").alias("v")).where(F.col("v").isNotNull())
-        return rows_in.sortWithinPartitions("k").mapInPandas(run, f"q {qkind}, k {kind}, score double")
-
-    for row in source.collect() if is_small(source, block) else source.toLocalIterator():
-        pending.append(row)
-        if len(pending) == block:
-            out = one_pass(pending) if out is None else out.unionByName(one_pass(pending))
-            pending = []
-    if pending or out is None:
-        if not pending:
-            return spark.createDataFrame([], f"{qid} {qkind}, {key} {kind}, score double, rank int")
-        out = one_pass(pending) if out is None else out.unionByName(one_pass(pending))
-    out = out.select(F.col("q").alias(qid), F.col("k").alias(key), "score")
-    return top_k(out, max(k, 0), qid, key)
+    asked = queries.select(F.col(qid).alias("q"), F.col(qvec).cast("array<float>").alias("v")).where(F.col("v").isNotNull())
+    rows = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<float>").alias("v")).where(F.col("v").isNotNull())
+    schema = f"q {qkind}, k {kind}, score double"
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], f"{qid} {qkind}, {key} {kind}, score double, rank int")
+    if is_small(asked, block):
+        out = _sent_to_all(rows, asked, k, schema)
+    else:
+        out = _block_pairs(rows, asked, rows.count(), asked.count(), k, schema, min(block, PAIR_BLOCK))
+    return top_k(out.select(F.col("q").alias(qid), F.col("k").alias(key), "score"), k, qid, key)
+
+
+# --- approximate search -----------------------------------------------------------
+
+CELLS, PROBES, SAMPLE, CELL_ROWS = 256, 32, 20_000, 8_192
+
+
+def _leading(key: Column) -> Column:
+    return 64 - F.length(F.bin(F.xxhash64(key)))
+
+
+def fit_cells(vectors: DataFrame, key: str = "chunk_id", vec: str = "vec", cells: int = CELLS, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray:
+    """Unit centroids (cells x dimension) by spherical k-means on at most ``sample`` vectors chosen by hash."""
+    rows = vectors.where(F.col(vec).isNotNull()).withColumn("_l", _leading(F.col(key).cast("string")))
+    total, least = 0, 65
+    for r in sorted(rows.groupBy("_l").count().collect(), key=lambda r: -r["_l"]):
+        total += r["count"]
+        if total > sample:
+            break
+        least = r["_l"]
+    got = rows.where(F.col("_l") >= least).orderBy(key).select(vec).collect()
+    x = unit(np.array([r[0] for r in got], np.float64)) if got else np.zeros((0, 1))
+    if not len(x):
+        return x.astype(np.float32)
+    rng = np.random.default_rng(0)
+    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        nearest = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, x)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, unit(sums), centres)
+    return centres.astype(np.float32)
+
+
+def _cells_of(df: DataFrame, name: str, vec: str, centres: np.ndarray, n: int) -> DataFrame:
+    """``name, vec, cell``: the ``n`` nearest cells of each vector, one row for each."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)  # at most CELLS vectors
+    kind = df.schema[name].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        for pdf in batches:
+            if len(pdf):
+                near = np.argsort(-(np.vstack(pdf["v"].to_numpy()) @ c.T), axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"k": pdf["k"], "v": pdf["v"], "cells": list(near.astype(np.int32))})
+
+    rows = df.select(F.col(name).alias("k"), F.col(vec).cast("array<float>").alias("v")).where(F.col("v").isNotNull())
+    found = rows.mapInPandas(run, f"k {kind}, v array<float>, cells array<int>")
+    return found.select(F.col("k").alias(name), F.col("v").alias(vec), F.explode("cells").alias("cell"))
+
+
+def cell_index(vectors: DataFrame, centres: np.ndarray, key: str = "chunk_id", vec: str = "vec") -> DataFrame:
+    """Every vector with its nearest cell; write it partitioned by ``cell`` to keep it."""
+    return _cells_of(vectors, key, vec, centres, 1)
+
+
+def approximate_top_k(
+    index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, key: str = "chunk_id", vec: str = "vec", qid: str = "qid", qvec: str = "vec",
+    probes: int = PROBES,
+) -> DataFrame:
+    """``qid, key, score, rank`` among the vectors of each query's ``probes`` nearest cells.
+
+    A crowded cell is cut into parts of about CELL_ROWS vectors, each of which meets the cell's queries in a task of its own.
+    """
+    kind, qkind = (d.schema[c].dataType.simpleString() for d, c in ((index, key), (queries, qid)))
+    parts = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"))  # at most CELLS rows
+    parts = F.broadcast(parts)
+    left = index.select(F.col(key).alias("k"), F.col(vec).alias("v"), "cell").join(parts, "cell")
+    left = left.select("k", "v", "cell", F.pmod(F.xxhash64("k"), "parts").cast("int").alias("part"))
+    right = _cells_of(queries.select(F.col(qid).alias("q"), F.col(qvec).alias("qv")), "q", "qv", centres, probes).join(parts, "cell")
+    right = right.select("q", "qv", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def pair(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": [], "k": [], "score": []})]
+        vs = vs.sort_values("k")
+        for at in range(0, len(qs) if len(vs) else 0, QUERY_BLOCK):
+            some = qs.iloc[at : at + QUERY_BLOCK]
+            best = Best(np.vstack(some["qv"].to_numpy()), k)
+            best.show(vs["k"].to_numpy(object), np.vstack(vs["v"].to_numpy()))
+            out.append(best.rows(some["q"].to_numpy(object)))
+        return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
+
+    found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(pair, f"q {qkind}, k {kind}, score double")
+    return top_k(found.select(F.col("q").alias(qid), F.col("k").alias(key), "score"), k, qid, key)
 
 
 def check_dimension(vectors: DataFrame, vec: str = "vec") -> int | None:

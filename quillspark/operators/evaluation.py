@@ -207,8 +207,40 @@ def notable_failures(results: DataFrame) -> DataFrame:
 
 
 def judge_score(reply: Column) -> Column:
-    """Faithfulness in [0, 1] from the JSON object in a judge's reply; NULL if there is none."""
-    return F.get_json_object(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "$.faithfulness").cast("double")
+    """The score in a judge's reply, from the JSON object between its first and last brace.
+
+    NULL if there is no object or it can't be read; 0.0 if the object has no score.
+    """
+    found = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    score = F.get_json_object(found, "$.score")
+    return F.when(F.get_json_object(found, "$").isNotNull(), F.coalesce(score, F.lit("0")).try_cast("double"))
+
+
+def judge(results: DataFrame, passages: DataFrame, complete, prompt) -> DataFrame:
+    """``results`` with ``judge_score`` by a model: ``complete(system, user) -> reply``, asked about answered, answerable items only.
+
+    ``passages`` has ``id, rank, text``; an item's context is its passages in order.
+    """
+    import pandas as pd
+
+    context = passages.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda p: p["text"]), "\n\n").alias("context"))
+    asked = results.where(F.col("answerable") & ~F.col("abstained")).select("result_id", "id", "question", "answer").join(context, "id")
+
+    def run(batches):
+        for pdf in batches:
+            calls = (prompt.render(question=r.question, context=r.context, answer=r.answer) for r in pdf.itertuples())
+            yield pd.DataFrame({"result_id": pdf["result_id"], "reply": [complete(*c) for c in calls]})
+
+    kind = results.schema["result_id"].dataType.simpleString()
+    replies = asked.mapInPandas(run, f"result_id {kind}, reply string").select("result_id", judge_score(F.col("reply")).alias("judge_score"))
+    return results.drop("judge_score").join(replies, "result_id", "left")
+
+
+def cross_check(results: DataFrame, outside: DataFrame, metric: str = "faithfulness", tolerance: float = 0.15) -> DataFrame:
+    """``metric, n, own, outside, agree``: means of an outside scorer (``id, <metric>``) beside the engine's own, over items both scored."""
+    both = results.where(F.col(metric).isNotNull()).select("id", F.col(metric).alias("own")).join(outside.select("id", F.col(metric).alias("out")), "id")
+    got = both.where(F.col("out").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("own"), 4).alias("own"), F.round(F.avg("out"), 4).alias("outside"))
+    return got.select(F.lit(metric).alias("metric"), "n", "own", "outside", (F.abs(F.col("own") - F.col("outside")) <= tolerance).alias("agree"))
 
 
 def validate_golden(items: DataFrame, corpus: DataFrame) -> DataFrame:

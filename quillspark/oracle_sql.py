@@ -8,6 +8,7 @@ from .operators.maintenance import SUFFIXES
 from .queries import EXPLANATIONS
 
 ORACLES: dict[str, str] = {}
+MARKER = r"\[\s*S(\d+)\s*\]"
 SPACE = "array_to_string"
 
 
@@ -54,12 +55,21 @@ ORACLES["overlap_ratio_quotes"] = f"""
 WITH q AS (SELECT citation_id, {O.lexical('quote')} AS c, {O.lexical('text')} AS r FROM ({QUOTES}))
 SELECT citation_id, round({_overlap('c', 'r')}, 6) AS ratio FROM q"""
 ORACLES["token_f1_answers"] = f"""
-WITH i AS (SELECT id, {O.lexical('question')} AS p, {O.lexical('reference_answer')} AS r FROM ({O.ITEMS})),
-p AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(p) AS t FROM i) GROUP BY ALL),
-r AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(r) AS t FROM i) GROUP BY ALL),
-c AS (SELECT id, sum(least(p.n, r.n)) AS k FROM p JOIN r USING (id, t) GROUP BY id)
-SELECT i.id, round(CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN coalesce(k, 0) = 0 THEN 0.0
-  ELSE 2 * (k / len(p)) * (k / len(r)) / (k / len(p) + k / len(r)) END, 6) AS f1 FROM i LEFT JOIN c USING (id)"""
+WITH i AS (SELECT a.id, a.answer, {O.lexical("regexp_replace(a.answer, '(?i)" + MARKER + "', '', 'g')")} AS p, {O.lexical('g.reference_answer')} AS r
+  FROM (SELECT DISTINCT id, answer FROM ({O.RESULTS}) WHERE answer IS NOT NULL AND NOT abstained) a JOIN ({O.ITEMS}) g USING (id)),
+p AS (SELECT id, answer, t, count(*) AS n FROM (SELECT id, answer, unnest(p) AS t FROM i) GROUP BY ALL),
+r AS (SELECT id, answer, t, count(*) AS n FROM (SELECT id, answer, unnest(r) AS t FROM i) GROUP BY ALL),
+c AS (SELECT id, answer, sum(least(p.n, r.n)) AS k FROM p JOIN r USING (id, answer, t) GROUP BY id, answer)
+SELECT i.id, i.answer, round(CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN coalesce(k, 0) = 0 THEN 0.0
+  ELSE 2 * (k / len(p)) * (k / len(r)) / (k / len(p) + k / len(r)) END, 6) AS f1 FROM i LEFT JOIN c USING (id, answer)"""
+ORACLES["claims_by_marker"] = f"""
+WITH a AS (SELECT answer, {O.sentences('answer')} AS s FROM (SELECT DISTINCT answer FROM ({O.RESULTS}) WHERE answer IS NOT NULL)),
+s AS (SELECT answer, i, s[i] AS x FROM (SELECT answer, s, unnest(range(1, len(s) + 1)) AS i FROM a)),
+p AS (SELECT *, {O.strip("regexp_replace(x, '(?i)" + MARKER + "', '', 'g')")} AS prose FROM s),
+l AS (SELECT *, coalesce(last_value(nullif(prose, '') IGNORE NULLS) OVER (PARTITION BY answer ORDER BY i ROWS UNBOUNDED PRECEDING), '') AS said FROM p),
+m AS (SELECT answer, i, said, regexp_extract_all(x, '(?i){MARKER}', 1) AS ns FROM l),
+u AS (SELECT answer, i, k, 'S' || ns[k] AS marker, said FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS k FROM m))
+SELECT answer, marker, string_agg(said, ' ' ORDER BY i, k) AS claim FROM u GROUP BY answer, marker"""
 ORACLES["best_sentence"] = f"""
 WITH q AS (SELECT x.citation_id, x.text, {O.sentences('x.text')} AS s, {O.lexical('i.question')} AS w
   FROM ({QUOTES}) x JOIN ({O.ITEMS}) i ON i.id = x.qid WHERE x.text IS NOT NULL AND i.question IS NOT NULL),
@@ -358,4 +368,28 @@ ORACLES["notable_failures"] = f"""
 SELECT issue, count(*) AS n, CAST(sum(result_id) AS BIGINT) AS id_sum FROM (SELECT result_id,
   CASE WHEN NOT answerable AND NOT abstained THEN 'answered an unanswerable question' WHEN answerable AND abstained THEN 'false abstention (' || abstain_reason || ')'
     WHEN answerable AND NOT recall_at_k THEN 'correct document not retrieved' END AS issue FROM ({O.RESULTS})) WHERE issue IS NOT NULL GROUP BY 1"""
-ORACLES["judge_json_parse"] = "SELECT event_id, CAST('0.' || json_extract_string(props, '$.k') AS DOUBLE) AS score FROM events"
+ORACLES["judge_json_parse"] = f"SELECT result_id, CASE WHEN NOT isnan(judge_score) THEN judge_score END AS score FROM ({O.RESULTS})"
+_SUPPORTED = "(SELECT DISTINCT ON (source) source, text FROM (" + O.DOCS + ") WHERE source IS NOT NULL)"
+ORACLES["golden_validator"] = f"""
+WITH g AS (SELECT coalesce(id, '<missing id>') AS id, question, coalesce(answerable, true) AS ok, {O.strip("coalesce(reference_answer, '')")} AS ref,
+  coalesce(expected_sources, []) AS src FROM ({O.ITEMS})),
+d AS (SELECT source, {O.lexical("coalesce(text, '')")} AS t FROM {_SUPPORTED}),
+v AS (SELECT DISTINCT source, unnest(t) AS term FROM d),
+w AS (SELECT id, ref, unnest(src) AS source FROM g WHERE ok),
+t AS (SELECT id, source, term, count(*) AS n FROM (SELECT id, source, unnest({O.lexical('ref')}) AS term FROM w) GROUP BY ALL),
+h AS (SELECT t.id, t.term, max(n) AS n, max(CASE WHEN v.term IS NULL THEN 0 ELSE 1 END) AS hit FROM t LEFT JOIN v USING (source, term) GROUP BY t.id, t.term),
+low AS (SELECT id FROM h GROUP BY id HAVING sum(n) >= 4 AND sum(n * hit) / sum(n) < 0.55),
+q AS (SELECT DISTINCT id, unnest({O.topical("coalesce(question, '')")}) AS term FROM g WHERE NOT ok),
+i AS (
+  SELECT 'error' AS level, 'missing required field ''id''' AS issue FROM g WHERE id = '<missing id>'
+  UNION ALL SELECT 'error', 'missing required field ''question''' FROM g WHERE coalesce(question, '') = ''
+  UNION ALL SELECT 'error', 'answerable row has no reference_answer' FROM g WHERE ok AND ref = ''
+  UNION ALL SELECT 'error', 'answerable row has no expected_sources' FROM g WHERE ok AND len(src) = 0
+  UNION ALL SELECT 'error', 'unanswerable row must have an empty reference_answer' FROM g WHERE NOT ok AND ref <> ''
+  UNION ALL SELECT 'error', 'unanswerable row must have no expected_sources' FROM g WHERE NOT ok AND len(src) > 0
+  UNION ALL SELECT 'error', 'duplicate id' FROM g GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT 'warning', 'duplicate question text' FROM (SELECT lower({O.strip("coalesce(question, '')")}) AS k FROM g) GROUP BY k HAVING count(*) > 1
+  UNION ALL SELECT 'error', 'expected source does not exist: ' || source FROM w WHERE source NOT IN (SELECT source FROM d)
+  UNION ALL SELECT 'error', 'reference answer is not supported by its sources' FROM low WHERE id IN (SELECT id FROM w JOIN d USING (source))
+  UNION ALL SELECT 'warning', 'every topical term is in the corpus' FROM (SELECT id FROM q GROUP BY id HAVING bool_and(term IN (SELECT term FROM v))))
+SELECT level, issue, count(*) AS n FROM i GROUP BY ALL"""

@@ -1,14 +1,14 @@
 """Registries of embedders, rerankers and generators.
 
 A provider is any picklable object with the method its stage calls: ``embed(texts)``,
-``score(queries, passages)`` or ``generate(question, blocks, gates)``.
+``score(queries, passages)`` or ``write(asked, blocks, gates)``, a plan from questions and numbered passages to texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators.answering import ExtractiveGenerator, Gates, Generated
+from .operators.answering import ExtractiveGenerator, Gates, Generated, written_by
 from .operators.dense import HashingEmbedder
 
 
@@ -46,6 +46,9 @@ class PromptedGenerator:
         text, used, made = self.complete(system, user)
         return Generated(text, used, made, self.model)
 
+    def write(self, asked, blocks, gates: Gates):
+        return written_by(self.generate, asked, blocks, gates)
+
 
 class FunctionReranker:
     """A pair scorer ``score(query, passage) -> float``, in batches of ``batch_size`` pairs."""

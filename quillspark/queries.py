@@ -155,22 +155,19 @@ def overlap_ratio_quotes(spark, sf):
 
 @query
 def token_f1_answers(spark, sf):
-    rows = _items(spark, sf).select("id", T.lexical_tokens(F.col("question")).alias("p"), T.lexical_tokens(F.col("reference_answer")).alias("r"))
-    return rows.select("id", F.round(evaluation.token_f1(F.col("p"), F.col("r")), 6).alias("f1"))
+    """Each distinct given answer against the reference of its golden item."""
+    given = _results(spark, sf).where(F.col("answer").isNotNull() & ~F.col("abstained")).select("id", "answer").distinct()
+    rows = given.join(_items(spark, sf), "id").select(
+        "id", "answer", T.lexical_tokens(T.without_markers(F.col("answer"))).alias("p"), T.lexical_tokens(F.col("reference_answer")).alias("r")
+    )
+    return rows.select("id", "answer", F.round(evaluation.token_f1(F.col("p"), F.col("r")), 6).alias("f1"))
 
 
 @query
 def best_sentence(spark, sf):
     """The sentence of each cited chunk that covers its question best."""
     rows = _quotes(spark, sf).join(_questions(spark, sf), "qid").where(F.col("text").isNotNull())
-
-    @F.pandas_udf("string")
-    def best(q, t):
-        import pandas as pd
-
-        return pd.Series([S.py_best_sentence(a, b) for a, b in zip(q, t, strict=True)])
-
-    return rows.select("citation_id", best("question", "text").alias("sentence"))
+    return S.best_sentences(rows, ["citation_id"], F.col("question"), F.col("text"))
 
 
 @query
@@ -205,12 +202,8 @@ def rich_text_tokens(spark, sf):
 
 @query
 def claims_by_marker(spark, sf):
-    @F.pandas_udf("map<string,string>")
-    def claims(texts):
-        return texts.map(lambda t: S.py_claims(t or ""))
-
     rows = _results(spark, sf).select("answer").where(F.col("answer").isNotNull()).distinct()
-    return rows.select("answer", F.explode(claims("answer")).alias("marker", "claim"))
+    return rows.select("answer", F.explode(S.claims(F.col("answer"))).alias("marker", "claim"))
 
 
 @query
@@ -391,6 +384,16 @@ def cosine_scoped_topk(spark, sf):
     return _near(spark, sf, 5, read(spark, sf, "embeddings").where(F.col("label") < 5).select("vec_id"))
 
 
+@query
+def ann_topk(spark, sf):
+    """Approximate neighbours by cells; recall against ``cosine_topk`` is measured in the tests."""
+    vectors = read(spark, sf, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    cells = dense.fit_cells(vectors, "vec_id", "embedding")
+    found = dense.approximate_top_k(dense.cell_index(vectors, cells, "vec_id", "embedding"), cells, asked, 10, "vec_id", "embedding", "qid", "qv")
+    return found.select("qid", "vec_id", F.round("score", 4).alias("score"), "rank")
+
+
 @query
 def hashing_embed(spark, sf):
     return dense.embed_texts(_questions(spark, sf), "qid", F.col("question"))
@@ -685,9 +688,10 @@ def notable_failures(spark, sf):
 
 @query
 def judge_json_parse(spark, sf):
-    """Scores from replies that wrap a JSON object in prose."""
-    reply = F.concat(F.lit("Verdict:\n"), F.regexp_replace("props", '"k": (\\d+)', '"faithfulness": 0.$1'), F.lit("\nDone."))
-    return read(spark, sf, "events").select("event_id", evaluation.judge_score(reply).alias("score"))
+    """Scores from replies that wrap a JSON object in prose; a reply without one has none."""
+    found = F.concat(F.lit('Verdict:\n{"reason": "as {cited}", "score": '), F.col("judge_score").cast("string"), F.lit("}\nDone."))
+    reply = F.when(F.col("judge_score").isNull() | F.isnan("judge_score"), "No verdict.").otherwise(found)
+    return _results(spark, sf).select("result_id", evaluation.judge_score(reply).alias("score"))
 
 
 @query

@@ -181,23 +181,41 @@ def stitch_pages(pages: DataFrame) -> DataFrame:
     return pages.select("source").distinct().join(texts, "source", "left").fillna("", ["text"])
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """``source, page, content`` from ``source, content`` (bytes); needs the optional PDF package."""
+def read_pdf(data: bytes) -> tuple[str | None, list[str]]:
+    """Title and page texts of a PDF; needs the optional package pypdf."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("reading PDF needs the package pypdf") from e
+    reader = PdfReader(io.BytesIO(data))
+    return reader.metadata.title if reader.metadata else None, [page.extract_text() or "" for page in reader.pages]
+
+
+def pdf_pages(files: DataFrame, reader: Callable[[bytes], tuple[str | None, list[str]]] = read_pdf) -> DataFrame:
+    """``source, page, content, title, pages`` from ``source, content`` (bytes); a PDF without pages has page 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            from pypdf import PdfReader
-        except ImportError as e:
-            raise RuntimeError("reading PDF needs the package pypdf") from e
         for pdf in batches:
-            rows = [
-                (s, n, page.extract_text() or "")
-                for s, data in zip(pdf["source"], pdf["content"], strict=True)
-                for n, page in enumerate(PdfReader(io.BytesIO(data)).pages, 1)
-            ]
-            yield pd.DataFrame(rows, columns=["source", "page", "content"])
+            rows = []
+            for source, data in zip(pdf["source"], pdf["content"], strict=True):
+                title, pages = reader(data)
+                rows += [(source, n, text, title, len(pages)) for n, text in enumerate(pages, 1)] or [(source, 0, "", title, 0)]
+            yield pd.DataFrame(rows, columns=["source", "page", "content", "title", "pages"])
+
+    return files.select("source", "content").mapInPandas(run, "source string, page int, content string, title string, pages int")
+
 
-    return files.select("source", "content").mapInPandas(run, "source string, page int, content string")
+def pdf_documents(files: DataFrame, reader: Callable[[bytes], tuple[str | None, list[str]]] = read_pdf) -> DataFrame:
+    """Documents of PDF files: pages stitched, the PDF's own title or the stem, the number of pages as metadata."""
+    pages = pdf_pages(files, reader)
+    about = pages.groupBy("source").agg(F.max("title").alias("t"), F.max("pages").alias("n"))
+    docs = text_documents(stitch_pages(pages)).join(about, "source")
+    own = strip(F.coalesce("t", F.lit("")))
+    docs = docs.withColumns({
+        "title": F.when(own != "", own).otherwise(F.col("title")), "content_type": F.lit("pdf"),
+        "metadata": F.create_map(F.lit("pages"), F.col("n").cast("string")),
+    })
+    return docs.select(DOCUMENT)
 
 
 def glob_match(path: Column, patterns: list[str]) -> Column:
@@ -236,9 +254,7 @@ def load_documents(files: DataFrame, with_pdf: bool = True) -> DataFrame:
     out = out.unionByName(text_documents(texts.where("kind = 'text'")).select(DOCUMENT))
     out = out.unionByName(html_documents(texts.where("kind = 'html'")).select(DOCUMENT))
     if with_pdf:
-        pages = stitch_pages(pdf_pages(kinds.where("kind = 'pdf'")))
-        pdf = text_documents(pages).withColumn("content_type", F.lit("pdf"))
-        out = out.unionByName(pdf.select(DOCUMENT))
+        out = out.unionByName(pdf_documents(kinds.where("kind = 'pdf'")))
     return merge_documents(out)
 
 
@@ -248,7 +264,15 @@ def merge_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def fetch_pages(urls: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
+def fetch(url: str, timeout: float = 20.0) -> str:
+    """A page's HTML; redirects are followed, and answers of 400 and above raise."""
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"User-Agent": "quillspark"}), timeout=timeout) as reply:  # raises on 4xx and 5xx
+        return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace")
+
+
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], str] = fetch) -> DataFrame:
     """Documents from web pages; ``fetch(url)`` returns HTML and raises on errors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,9 @@ from quillspark import config
 from quillspark.operators import chunking as C
 from quillspark.operators import evaluation as E
 from quillspark.operators import maintenance as M
+from quillspark.operators.dense import HashingEmbedder
 from quillspark.plans import pipeline
+from quillspark.plans.library import DocumentNotFound, Library, projected
 from quillspark.prompts import MissingVariable, Prompt, PromptLibrary
 from quillspark.session import build_session, cut_lineage, is_small
 from quillspark.sources import loaders as L
@@ -108,6 +110,14 @@ def test_pages_and_fetch(spark):
     assert doc.title == "http://x.example/a" and doc.metadata == {"fetched_from": "http://x.example/a"}
 
 
+def test_pdf_documents(spark):
+    books = {b"1": (" The Fees ", ["one", "  ", "three"]), b"2": (None, ["x"]), b"3": ("", [])}
+    files = spark.createDataFrame([("a/f.pdf", bytearray(b"1")), ("a/g.pdf", bytearray(b"2")), ("a/h.pdf", bytearray(b"3"))], "source string, content binary")
+    got = {r.source: r for r in L.pdf_documents(files, lambda data: books[bytes(data)]).collect()}
+    assert got["a/f.pdf"].title == "The Fees" and got["a/f.pdf"].text == "## Page 1\n\none\n\n## Page 3\n\nthree" and got["a/f.pdf"].metadata == {"pages": "3"}
+    assert got["a/g.pdf"].title == "g" and got["a/h.pdf"].text == "" and got["a/h.pdf"].metadata == {"pages": "0"} and got["a/h.pdf"].content_type == "pdf"
+
+
 def test_golden_reader(spark, tmp_path):
     good = tmp_path / "g.jsonl"
     good.write_text(json.dumps({"id": "1", "question": "q"}) + "\n\n" + json.dumps({"id": "2", "question": "r", "answerable": False}) + "\n")
@@ -127,11 +137,81 @@ def test_ingest_twice(spark, docs, tmp_path):
     assert pipeline.ingest(docs, folder) == {"documents": 0, "skipped": 4, "chunks": 0}
     changed = docs.withColumn("text", F.when(F.col("doc_id") == "glossary", "# New\n\nOther words.").otherwise(F.col("text")))
     assert pipeline.ingest(changed, folder)["documents"] == 1
-    chunks = sinks.TableStore(spark, f"{folder}/chunks").read()
-    vectors = sinks.TableStore(spark, f"{folder}/vectors").read()
+    store = sinks.LibraryStore(spark, folder)
+    chunks, vectors = store.read("chunks"), store.read("vectors")
     assert chunks.count() == vectors.count() == 2 and chunks.where("text like '%Other words%'").count() == 1
     with pytest.raises(M.IndexMismatch):
         M.check_fingerprint("hashing:a:1", "hashing:b:2", 3)
+    with pytest.raises(M.IndexMismatch):
+        pipeline.ingest(docs, folder, embedder=HashingEmbedder(64))
+    # Only the buckets of the changed document are rewritten.
+    before = store.state()["tables"]
+    pipeline.ingest(docs, folder)
+    after = store.state()["tables"]
+    moved = {b for t in before for b in after[t] if after[t][b] != before[t].get(b)}
+    assert moved == {str(b) for b in store.touched(docs.where("doc_id = 'glossary'"))} and len(after["manifest"]) > 1
+    assert store.vacuum() > 0 and store.read("chunks").where("text like '%sprocket turns%'").count() == 1
+
+
+def test_a_crash_between_steps_changes_nothing(spark, docs, tmp_path, monkeypatch):
+    folder = str(tmp_path / "store")
+    pipeline.ingest(docs, folder)
+    old = {t: sorted(map(str, sinks.LibraryStore(spark, folder).read(t).collect())) for t in sinks.LibraryStore.TABLES}
+    changed = docs.withColumn("text", F.lit("# New\n\nOther words here."))
+    real = sinks.write_text
+    for where in ("parquet", "pointer"):
+        with monkeypatch.context() as m:
+            if where == "pointer":
+                m.setattr(sinks, "write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            else:
+                calls = []
+                own = sinks.LibraryStore.bucket
+                m.setattr(sinks.LibraryStore, "bucket", lambda self, *a: calls.append(1) or (own(self, *a) if len(calls) < 3 else 1 / 0))
+            with pytest.raises((OSError, ZeroDivisionError)):
+                pipeline.ingest(changed, folder)
+        assert {t: sorted(map(str, sinks.LibraryStore(spark, folder).read(t).collect())) for t in old} == old
+    assert sinks.write_text is real and pipeline.ingest(changed, folder)["documents"] == 4
+    assert sinks.LibraryStore(spark, folder).read("chunks").where("text like '%Other words%'").count() == 4
+
+
+def test_library(spark, tmp_path):
+    (tmp_path / "docs" / "deep").mkdir(parents=True)
+    (tmp_path / "docs" / "a.md").write_text("# Fees\n\nThe dispute fee is 15.00 per case and refunds are free of charge.")
+    (tmp_path / "docs" / "b.txt").write_text("Payouts are settled every Friday to the bank account on file.")
+    (tmp_path / "docs" / "c.txt").write_text("   ")
+    (tmp_path / "docs" / "deep" / "d.md").write_text("# Deep\n\nNot added.")
+    lib = Library(spark, str(tmp_path / "store"))
+    got = {r.name: r.reason for r in lib.add_directory(str(tmp_path / "docs")).collect()}
+    assert got == {"a.md": None, "b.txt": None, "c.txt": "empty"}
+    names = {r.filename: r.doc_id for r in lib.documents().collect()}
+    assert sorted(names) == ["a.md", "b.txt"]
+    question = spark.createDataFrame([("q", " What is the dispute fee per case? ")], "qid string, question string")
+    row = projected(lib.ask(question, [names["a.md"]]), trace=True).first()
+    assert "15.00" in row.text and not row.abstained and row.retrieved[0]["rank"] == 1 and row.citations[0]["chunk_id"] == row.retrieved[0]["chunk_id"]
+    assert lib.passage(row.citations[0]["chunk_id"])["doc_id"] == names["a.md"] == lib.get(names["a.md"])["doc_id"]
+    for call in (lambda: lib.passage("no"), lambda: lib.get("no"), lambda: lib.ask(question, ["no"]), lambda: lib.delete(["no"])):
+        with pytest.raises(DocumentNotFound):
+            call()
+    with pytest.raises(ValueError):
+        lib.ask(question.withColumn("question", F.lit("  ")))
+    (tmp_path / "docs" / "a.md").write_text("# Fees\n\nThe dispute fee is 20.00 now, in every single case.")
+    docs = L.load_documents(L.list_files(spark, str(tmp_path / "docs"), exclude=["b.txt"]), with_pdf=False)
+    assert lib.sync(docs) == {"insert": 1, "update": 1, "delete": 1, "keep": 0}
+    assert lib.delete([names["a.md"]]) == 1 and [r.filename for r in lib.documents().collect()] == ["d.md"]
+    assert lib.store.read("vectors").count() == lib.store.read("chunks").count() == 1
+
+
+def test_profiles_are_honoured(spark, docs):
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "source", "title", F.lit("").alias("section"), "text")
+    full = config.load_config("full", env={})
+    with pytest.raises(ValueError, match="sentence_transformers"):
+        pipeline.index_chunks(chunks, config=full)
+    corpus = pipeline.index_chunks(chunks)
+    q = spark.createDataFrame([("q", "widget")], "qid string, question string")
+    with pytest.raises(ValueError, match="rerank"):
+        pipeline.rank(corpus, q, chunks, full)
+    with pytest.raises(ValueError, match="generation"):
+        pipeline.answer(corpus, q, full)
 
 
 def test_stream_ingest(spark, docs, tmp_path):
@@ -140,7 +220,7 @@ def test_stream_ingest(spark, docs, tmp_path):
     stream = document_stream(spark, source)
     for _ in range(2):
         ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
-    assert sinks.TableStore(spark, str(tmp_path / "store/manifest")).read().count() == 4
+    assert sinks.LibraryStore(spark, str(tmp_path / "store")).read("manifest").count() == 4
     q = arrivals(stream).writeStream.format("memory").queryName("arr").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(documents) from arr").first()[0] == 4
@@ -226,8 +306,16 @@ def test_token_f1_and_overlap(spark):
 
 
 def test_judge(spark):
-    df = spark.createDataFrame([('say {"faithfulness": 0.5} ok',), ("none",), (None,)], "r string")
-    assert [r[0] for r in df.select(E.judge_score(F.col("r"))).collect()] == [0.5, None, None]
+    replies = ['say {"score": 0.5, "reason": "a {b}"} ok', "none", None, '{"faithfulness": 1}', "{broken", '{"score": "x"}', '```json\n{"score": 1}\n```']
+    df = spark.createDataFrame([(x,) for x in replies], "r string")
+    assert [r[0] for r in df.select(E.judge_score(F.col("r"))).collect()] == [0.5, None, None, 0.0, None, None, 1.0]
+    rows = results(spark, [{}, {"id": "2", "result_id": 2, "abstained": True}]).withColumn("answer", F.lit("It is so. [S1]"))
+    passages = spark.createDataFrame([("1", 2, "b"), ("1", 1, "a")], "id string, rank int, text string")
+    prompt = Prompt("judge", "v1", "judge", "{question}|{context}|{answer}")
+    got = E.judge(rows, passages, lambda system, user: '{"score": %s}' % (0.75 if user == "q|a\n\nb|It is so. [S1]" else 0.1), prompt).collect()
+    assert {r.result_id: r.judge_score for r in got} == {1: 0.75, 2: None}
+    outside = spark.createDataFrame([("1", 0.8)], "id string, faithfulness double")
+    assert E.cross_check(rows, outside).first().asDict() == {"metric": "faithfulness", "n": 1, "own": 0.9, "outside": 0.8, "agree": True}
 
 
 def test_config():
@@ -260,11 +348,10 @@ def test_stores(spark, tmp_path):
     assert sinks.load_manifest(spark, str(tmp_path / "none.json")) == {}
     (tmp_path / "bad.json").write_text("{")
     assert sinks.load_manifest(spark, str(tmp_path / "bad.json")) == {}
-    store = sinks.TableStore(spark, str(tmp_path / "t"))
-    assert store.read() is None
-    store.write(spark.range(3))
-    store.write(spark.range(5))
-    assert store.read().count() == 5
+    sinks.write_text(spark, str(tmp_path / "p"), "a")
+    sinks.write_text(spark, str(tmp_path / "p"), "b")
+    assert sinks.read_text(spark, str(tmp_path / "p")) == "b"
+    assert sinks.LibraryStore(spark, str(tmp_path / "t")).read("chunks") is None
 
 
 def test_session_helpers(spark):

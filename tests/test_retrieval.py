@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import answering as A
+from quillspark.functions import sentences as S
+from quillspark.functions import text as T
 from quillspark.operators import dense, fusion, rerank, sparse
 from quillspark.plans import pipeline
 from quillspark.providers import EMBEDDERS, RERANKERS, PromptedGenerator, create
@@ -95,6 +97,38 @@ def test_cosine_blocks_agree(spark):
     assert dense.cosine_top_k(df, q, 0, "id", "v", "q", "qv").count() == 0
 
 
+def test_equal_vectors_go_by_key(spark):
+    df = spark.createDataFrame([(f"k{i:03}", [1.0, float(i % 2)]) for i in range(300)], "id string, v array<float>").repartition(4)
+    q = spark.createDataFrame([("q", [1.0, 1.0])], "q string, qv array<float>")
+    for block in (10, 1):
+        got = dense.cosine_top_k(df, q.unionByName(q.withColumn("q", F.lit("r"))), 5, "id", "v", "q", "qv", block=block).where("q = 'q'").orderBy("rank").collect()
+        assert [r.id for r in got] == ["k001", "k003", "k005", "k007", "k009"]
+    assert dense.cosine_top_k(df.limit(0), q, 5, "id", "v", "q", "qv").count() == 0 and dense.cosine_top_k(df, q.limit(0), 5, "id", "v", "q", "qv").count() == 0
+
+
+def test_approximate_search_recall(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    m = centres[rng.integers(0, 40, 4000)] + 0.6 * rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(9999, None)], "id long, v array<float>")
+    q = df.where("id % 20 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    cells = dense.fit_cells(df, "id", "v", cells=32, sample=3000)
+    index = dense.cell_index(df, cells, "id", "v")
+    assert cells.shape == (32, 24) and index.count() == 4000
+    exact = {(r.q, r.id) for r in dense.cosine_top_k(df, q, 10, "id", "v", "q", "qv").collect()}
+    monkeypatch.setattr(dense, "CELL_ROWS", 100)  # crowded cells are cut
+    near = {(r.q, r.id) for r in dense.approximate_top_k(index, cells, q, 10, "id", "v", "q", "qv", probes=8).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    whole = {(r.q, r.id) for r in dense.approximate_top_k(index, cells, q, 10, "id", "v", "q", "qv", probes=32).collect()}
+    assert whole == exact
+
+
+def test_bm25_blocks_of_questions_agree(spark, index):
+    q = ask(spark, "dispute fee", "429 Retry-After", "colours teal", "payouts friday", "dispute payouts")
+    rows = lambda n: sorted((r.qid, r.chunk_id, round(r.score, 9), r.rank) for r in sparse.search(index, q, 2, term_rows=n).collect())
+    assert rows(3) == rows(1000) and len(rows(3)) >= 5
+
+
 def test_dimension_change_raises(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "vec array<float>")
     with pytest.raises(ValueError):
@@ -185,11 +219,48 @@ def test_citations(spark, index):
     assert row.confidence == pytest.approx(min(1, 0.5 * row.grounding + 0.125 + 0.25), abs=1e-4)
 
 
-def test_digit_bonus_alone_selects():
-    g = A.ExtractiveGenerator()
-    made = g.generate("How many zebras?", [(1, "Payment takes 5 working days overall.")], A.Gates())
-    assert made.text == "Payment takes 5 working days overall. [S1]"
-    assert g.generate("How many zebras?", [(1, "Takes 5 days.")], A.Gates()).text == "INSUFFICIENT_EVIDENCE"
+def wrote(spark, question, *bodies):
+    asked = ask(spark, question)
+    blocks = spark.createDataFrame([("q0", i + 1, b) for i, b in enumerate(bodies)], "qid string, marker_no int, body string")
+    blocks = blocks.withColumn("terms", T.lexical_tokens(F.col("body")))
+    return A.ExtractiveGenerator().write(asked, blocks, A.Gates()).first()
+
+
+def test_digit_bonus_alone_selects(spark):
+    assert wrote(spark, "How many zebras?", "Payment takes 5 working days overall.").made == "Payment takes 5 working days overall. [S1]"
+    assert wrote(spark, "How many zebras?", "Takes 5 days.").made == "INSUFFICIENT_EVIDENCE"
+
+
+def test_extracts_add_terms_and_keep_passage_order(spark):
+    got = wrote(
+        spark, "Which dispute fee and refund window apply?",
+        "# Dispute fee\n\nThe refund window lasts thirty days:\n\n| dispute | fee |",
+        "1. The dispute fee applies per case\n\nThe dispute fee applies again and again.",
+    )
+    assert got.made == "The refund window lasts thirty days. [S1] The dispute fee applies per case. [S2]"
+    assert got.input_tokens > got.output_tokens > 0 and wrote(spark, "Which dispute fee?", None, "").made == "INSUFFICIENT_EVIDENCE"
+
+
+def test_claims_belong_to_the_prose_before(spark):
+    text = "Fees are due. [S1] [S2]\n\nRefunds take days [s1]. Nothing here. They close [ S3 ] early."
+    df = spark.createDataFrame([(text,), (None,), ("",), ("No marker.",)], "t string")
+    got = [r[0] for r in df.select(S.claims(F.col("t"))).collect()]
+    assert got[0] == {"S1": "Fees are due. Refunds take days .", "S2": "Fees are due.", "S3": "They close  early."}
+    assert got[1:] == [None, {}, {}]
+
+
+def test_best_sentences(spark):
+    rows = [(1, "dispute fee", "# Dispute fee\n\nNothing. The dispute fee is due. Fee."), (2, "", "One. Two."), (3, "fee", "| fee |"), (4, "fee", "  "), (5, None, "A b."), (6, "fee", None)]
+    df = spark.createDataFrame(rows, "k int, q string, t string")
+    got = {r.k: r.sentence for r in S.best_sentences(df, ["k"], F.col("q"), F.col("t")).collect()}
+    assert got == {1: "The dispute fee is due.", 2: "One.", 3: "| fee |", 4: "  ", 5: "A b.", 6: None}
+
+
+def test_unknown_markers_are_cut(spark, index):
+    said = "The dispute fee is 15.00 [S1].  It is due [S01]. It is free [S9] for all."
+    row = A.answer_questions(ask(spark, "What is the dispute fee?"), ranked(spark, 2), index, generator=A.ScriptedGenerator(said)).first()
+    assert row.text == "The dispute fee is 15.00 [S1]. It is due . It is free for all." and [c.marker for c in row.citations] == ["S1"]
+    assert [x.chunk_id for x in row.retrieved] == ["c1", "c2"]
 
 
 def test_end_to_end(spark, chunks):
