@@ -119,6 +119,10 @@ class Best:
         return pd.DataFrame({"q": plain(np.repeat(names[live], width)), "k": plain(self.keys[live].ravel()), "score": self.scores[live].ravel()})
 
 
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"q": pd.Series([], dtype=object), "k": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
+
+
 def _sent_to_all(vectors: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
     """Few queries (the caller has counted them): each task walks its own vectors once and keeps its best."""
     rows = asked.orderBy("q").collect()
@@ -146,7 +150,7 @@ def _block_pairs(vectors: DataFrame, asked: DataFrame, n_vectors: int, n_asked:
 
     def pair(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if vs.empty or qs.empty:
-            return pd.DataFrame({"q": [], "k": [], "score": []})
+            return _nothing()
         vs = vs.sort_values("k")
         best = Best(np.vstack(qs["qv"].to_numpy()), k)
         best.show(vs["k"].to_numpy(object), np.vstack(vs["v"].to_numpy()))
@@ -252,14 +256,14 @@ def approximate_top_k(
     right = right.select("q", "qv", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def pair(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"q": [], "k": [], "score": []})]
+        out = []
         vs = vs.sort_values("k")
         for at in range(0, len(qs) if len(vs) else 0, QUERY_BLOCK):
             some = qs.iloc[at : at + QUERY_BLOCK]
             best = Best(np.vstack(some["qv"].to_numpy()), k)
             best.show(vs["k"].to_numpy(object), np.vstack(vs["v"].to_numpy()))
             out.append(best.rows(some["q"].to_numpy(object)))
-        return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
+        return pd.concat(out, ignore_index=True) if out else _nothing()
 
     found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(pair, f"q {qkind}, k {kind}, score double")
     return top_k(found.select(F.col("q").alias(qid), F.col("k").alias(key), "score"), k, qid, key)
