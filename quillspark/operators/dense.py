@@ -126,6 +126,8 @@ def _nothing() -> pd.DataFrame:
 def _sent_to_all(vectors: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
     """Few queries (the caller has counted them): each task walks its own vectors once and keeps its best."""
     rows = asked.orderBy("q").collect()
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], schema)
     shared = vectors.sparkSession.sparkContext.broadcast(
         (np.array([r["q"] for r in rows], object), np.array([r["v"] for r in rows], np.float32))
     )
