@@ -123,12 +123,6 @@ def test_approximate_search_recall(spark, monkeypatch):
     assert whole == exact
 
 
-def test_bm25_blocks_of_questions_agree(spark, index):
-    q = ask(spark, "dispute fee", "429 Retry-After", "colours teal", "payouts friday", "dispute payouts")
-    rows = lambda n: sorted((r.qid, r.chunk_id, round(r.score, 9), r.rank) for r in sparse.search(index, q, 2, term_rows=n).collect())
-    assert rows(3) == rows(1000) and len(rows(3)) >= 5
-
-
 def test_dimension_change_raises(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "vec array<float>")
     with pytest.raises(ValueError):
