@@ -10,16 +10,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_normalize, py_tokenize
-from ..session import is_small
 from .sparse import top_k
 
 DIMENSION = 512
-#: Up to so many queries are sent to all vectors where they lie; more meet the vectors block by block.
-QUERY_BLOCK = 8192
+#: So many queries at once are sent to all vectors where they lie, so many times; still more meet the vectors in pairs of blocks.
+QUERY_BLOCK, QUERY_BLOCKS = 16_384, 16
 #: Vectors and queries of one pair of blocks.
 PAIR_BLOCK = 16_384
 
@@ -90,57 +90,119 @@ def l2_normalize(vec: Column) -> Column:
 
 
 class Best:
-    """The best ``k`` of all vectors shown so far for each query; among equals those shown first."""
+    """The best ``k`` of all vectors shown so far for each query; among equals those with the least key.
 
-    def __init__(self, queries: np.ndarray, k: int) -> None:
-        self.q, self.k = unit(queries.astype(np.float64)), k
-        self.scores = np.zeros((len(self.q), 0))
-        self.keys = np.zeros((len(self.q), 0), object)
+    Products in single precision, with a margin for their error, tell which vectors can be among the best; only those are scored in double precision.
+    """
 
-    def show(self, keys: np.ndarray, vectors: np.ndarray, step: int = 2048) -> None:
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.raw, self.k = queries.astype(np.float32, copy=False), k
+        self.norm = np.concatenate([np.linalg.norm(x.astype(np.float64), axis=1) for x in np.array_split(self.raw, 1 + len(self.raw) // 4096)])
+        self.norm[self.norm == 0] = 1
+        self.unit = (self.raw / self.norm[:, None].astype(np.float32)).astype(np.float32, copy=False)
+        self.scores = np.full((len(self.raw), k), -np.inf)
+        self.keys = np.full((len(self.raw), k), None, object)
+        self.margin = 1e-6 + (self.raw.shape[1] + 8) * 2.0**-23
+
+    def show(self, keys: np.ndarray, vectors: np.ndarray, step: int = 4096, width: int = 2048) -> None:
         for at in range(0, len(keys), step):
-            fresh = self.q @ unit(vectors[at : at + step].astype(np.float64)).T
-            scores = np.hstack([self.scores, fresh])
-            names = np.hstack([self.keys, np.broadcast_to(keys[at : at + step], fresh.shape)])
-            if scores.shape[1] > self.k:
-                rounded = np.round(scores, 6)
-                least = np.partition(rounded, -self.k, axis=1)[:, [-self.k]]
-                over, same = rounded > least, rounded == least
-                room = self.k - over.sum(axis=1, keepdims=True)
-                column = np.nonzero(over | same & (np.cumsum(same, axis=1) <= room))[1].reshape(-1, self.k)
-                scores, names = np.take_along_axis(scores, column, 1), np.take_along_axis(names, column, 1)
-            self.scores, self.keys = scores, names
+            some, names = unit(vectors[at : at + step].astype(np.float64)), keys[at : at + step]
+            single = some.astype(np.float32).T
+            for low in range(0, len(self.unit), width):
+                near = self.unit[low : low + width] @ single
+                least = np.round(self.scores[low : low + width, -1], 6)
+                if len(names) > self.k and np.isneginf(least).any():
+                    least = np.maximum(least, np.partition(near, -self.k, axis=1)[:, -self.k] - self.margin)
+                q, v = np.nonzero(near >= (least - self.margin).astype(np.float32)[:, None])
+                if len(q):
+                    self._keep(low + q, names[v], self._exact(low + q, some, v))
+
+    def _exact(self, q: np.ndarray, vectors: np.ndarray, v: np.ndarray, most: int = 8192) -> np.ndarray:
+        out = np.empty(len(q))
+        for i in range(0, len(q), most):
+            some = slice(i, i + most)
+            out[some] = np.einsum("ij,ij->i", self.raw[q[some]].astype(np.float64) / self.norm[q[some], None], vectors[v[some]])
+        return out
+
+    def _keep(self, q: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        better = np.round(scores, 6) >= np.round(self.scores[q, -1], 6)
+        q, names, scores = q[better], names[better], scores[better]
+        if not len(q):
+            return
+        k, touched = self.k, np.unique(q)
+        q = np.r_[np.repeat(touched, k), q]
+        names, scores = np.concatenate([self.keys[touched].ravel(), names]), np.r_[self.scores[touched].ravel(), scores]
+        rounded = np.round(scores, 6)
+        order = np.lexsort((-rounded, q))
+        first = np.searchsorted(q[order], touched)
+        last = order[first + k - 1]
+        after = np.minimum(first + k, len(order) - 1)
+        tied = (first + k < len(order)) & (q[order[after]] == touched) & (rounded[order[after]] == rounded[last]) & (rounded[last] > -np.inf)
+        ends = np.r_[first[1:], len(order)]
+        for i in np.flatnonzero(tied).tolist():  # the last place goes by key
+            mine = order[first[i] : ends[i]]
+            same = rounded[mine] == rounded[last[i]]
+            equal = mine[same]
+            from_, to = first[i] + int(np.argmax(same)), first[i] + int(np.argmax(same)) + len(equal)
+            order[from_:to] = equal[sorted(range(len(equal)), key=names[equal].__getitem__)]
+        kept = order[first[:, None] + np.arange(k)]
+        self.scores[touched], self.keys[touched] = scores[kept], names[kept]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the queries, keys and scores; zero queries find nothing."""
+        live = (self.scores > -np.inf) & self.raw.any(axis=1)[:, None]
+        return np.nonzero(live)[0], self.keys[live], self.scores[live]
 
     def rows(self, names: np.ndarray) -> pd.DataFrame:
-        """``q, k, score``; zero queries find nothing."""
-        live = np.linalg.norm(self.q, axis=1) > 0
-        width = self.scores.shape[1]
+        """``q, k, score``."""
+        q, k, score = self.found()
         plain = lambda x: pd.Series(x, dtype=object)
-        return pd.DataFrame({"q": plain(np.repeat(names[live], width)), "k": plain(self.keys[live].ravel()), "score": self.scores[live].ravel()})
+        return pd.DataFrame({"q": plain(names[q]), "k": plain(k), "score": score})
 
 
 def _nothing() -> pd.DataFrame:
     return pd.DataFrame({"q": pd.Series([], dtype=object), "k": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
 
 
-def _sent_to_all(vectors: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
-    """Few queries (the caller has counted them): each task walks its own vectors once and keeps its best."""
-    rows = asked.orderBy("q").collect()
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], schema)
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (np.array([r["q"] for r in rows], object), np.array([r["v"] for r in rows], np.float32))
-    )
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _sent_to_all(vectors: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame | None:
+    """One block of queries (the caller has counted them): each task walks its own vectors once and keeps its best."""
+    table = asked.toArrow().combine_chunks()
+    if not table.num_rows:
+        return None
+    context = vectors.sparkSession.sparkContext
+    shared = context.broadcast((table.column("q").chunk(0), _matrix(table.column("v").chunk(0))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
         best = Best(q, k)
-        for pdf in batches:
-            if len(pdf):
-                best.show(pdf["k"].to_numpy(object), np.vstack(pdf["v"].to_numpy()))
-        yield best.rows(names)
+        held, n = [], 0
+
+        def show() -> None:
+            all_keys = [x.column(0).to_numpy(zero_copy_only=False).astype(object) for x in held]
+            best.show(np.concatenate(all_keys), np.concatenate([_matrix(x.column(1)) for x in held]))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= 4096:
+                show()
+                held, n = [], 0
+        if held:
+            show()
+        at, keys, scores = best.found()
+        for i in range(0, len(at), 100_000):
+            some = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at[some])), pa.array(keys[some].tolist(), key_type), pa.array(scores[some])], ["q", "k", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    return vectors.sortWithinPartitions("k").mapInPandas(run, schema)
+    key_type = to_arrow_type(vectors.schema["k"].dataType)
+    return vectors.coalesce(context.defaultParallelism).mapInArrow(run, schema)  # each task sends its best k
 
 
 def _block_pairs(vectors: DataFrame, asked: DataFrame, n_vectors: int, n_asked: int, k: int, schema: str, block: int) -> DataFrame:
@@ -153,7 +215,6 @@ def _block_pairs(vectors: DataFrame, asked: DataFrame, n_vectors: int, n_asked:
     def pair(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if vs.empty or qs.empty:
             return _nothing()
-        vs = vs.sort_values("k")
         best = Best(np.vstack(qs["qv"].to_numpy()), k)
         best.show(vs["k"].to_numpy(object), np.vstack(vs["v"].to_numpy()))
         return best.rows(qs["q"].to_numpy(object))
@@ -167,8 +228,8 @@ def cosine_top_k(
 ) -> DataFrame:
     """``qid, key, score, rank``: exact cosine top-k of each query.
 
-    At most ``block`` queries are sent to the vectors, which stay where they are; more queries and the vectors are cut
-    into blocks that meet pair by pair, so neither a task nor the driver ever holds more than a block. A task keeps only its
+    The queries are sent to the vectors, which stay where they are, in up to QUERY_BLOCKS blocks of about ``block``; more queries and the
+    vectors are cut into blocks that meet pair by pair, so neither a task nor the driver ever holds more than a block. A task keeps only its
     best ``k`` for each query before anything is merged. Zero and NULL
     queries find nothing; NULL vectors are never found; ``allowed`` filters first.
     """
@@ -180,10 +241,17 @@ def cosine_top_k(
     schema = f"q {qkind}, k {kind}, score double"
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], f"{qid} {qkind}, {key} {kind}, score double, rank int")
-    if is_small(asked, block):
-        out = _sent_to_all(rows, asked, k, schema)
+    n = asked.count()
+    if n <= block * QUERY_BLOCKS:
+        blocks, out = max(1, -(-n // block)), None
+        for i in range(blocks):
+            some = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) if blocks > 1 else asked
+            if (part := _sent_to_all(rows, some, k, schema)) is not None:
+                out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = vectors.sparkSession.createDataFrame([], schema)
     else:
-        out = _block_pairs(rows, asked, rows.count(), asked.count(), k, schema, min(block, PAIR_BLOCK))
+        out = _block_pairs(rows, asked, rows.count(), n, k, schema, min(block, PAIR_BLOCK))
     return top_k(out.select(F.col("q").alias(qid), F.col("k").alias(key), "score"), k, qid, key)
 
 
@@ -259,7 +327,6 @@ def approximate_top_k(
 
     def pair(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         out = []
-        vs = vs.sort_values("k")
         for at in range(0, len(qs) if len(vs) else 0, QUERY_BLOCK):
             some = qs.iloc[at : at + QUERY_BLOCK]
             best = Best(np.vstack(some["qv"].to_numpy()), k)

@@ -129,6 +129,35 @@ def test_cosine_blocks_agree(spark):
     assert dense.cosine_top_k(df, q, 0, "id", "v", "q", "qv").count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 7, 200])
+def test_dense_search_screens_exactly(k):
+    """Near ties, exact ties, zeros and long vectors: as if every product were taken in double precision."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(150, 16)).astype(np.float32)
+    v[100:130] = v[:30] * 3  # ties
+    v[130:140] = v[30:40] + rng.normal(size=(10, 16)).astype(np.float32) * 1e-6
+    v[140] = 0
+    q = np.vstack([v[::4] * 1e12, np.zeros((1, 16), np.float32)]).astype(np.float32)
+    keys = np.array([f"k{i:03}" for i in rng.permutation(150)], object)
+    best = dense.Best(q, k)
+    for at in range(0, 150, 40):
+        best.show(keys[at : at + 40], v[at : at + 40], step=25, width=9)
+    got = {(r.q, r.k) for r in best.rows(np.arange(len(q))).itertuples()}
+    scores = np.round(dense.unit(q.astype(np.float64)) @ dense.unit(v.astype(np.float64)).T, 6)
+    want = {(i, keys[j]) for i in range(len(q) - 1) if q[i].any() for j in sorted(range(150), key=lambda j: (-scores[i, j], keys[j]))[:k]}
+    assert got == want and best.unit.dtype == np.float32  # before, all products were doubles, sorted in whole
+
+
+def test_cosine_pairs_of_blocks_agree(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(50)], "id int, v array<float>").repartition(3)
+    q = df.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    rows = lambda b: sorted((r.q, r.rank, r.id) for r in dense.cosine_top_k(df, q, 3, "id", "v", "q", "qv", block=b).collect())
+    sent = rows(20)  # three blocks of queries
+    monkeypatch.setattr(dense, "QUERY_BLOCKS", 1)
+    assert rows(20) == sent and len(sent) == 150
+
+
 def test_equal_vectors_go_by_key(spark):
     df = spark.createDataFrame([(f"k{i:03}", [1.0, float(i % 2)]) for i in range(300)], "id string, v array<float>").repartition(4)
     q = spark.createDataFrame([("q", [1.0, 1.0])], "q string, qv array<float>")
