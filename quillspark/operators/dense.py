@@ -19,7 +19,7 @@ from .sparse import top_k
 
 DIMENSION = 512
 #: So many queries at once are sent to all vectors where they lie, so many times; still more meet the vectors in pairs of blocks.
-QUERY_BLOCK, QUERY_BLOCKS = 16_384, 16
+QUERY_BLOCK, QUERY_BLOCKS = 8192, 32
 #: Vectors and queries of one pair of blocks.
 PAIR_BLOCK = 16_384
 
@@ -104,7 +104,7 @@ class Best:
         self.keys = np.full((len(self.raw), k), None, object)
         self.margin = 1e-6 + (self.raw.shape[1] + 8) * 2.0**-23
 
-    def show(self, keys: np.ndarray, vectors: np.ndarray, step: int = 4096, width: int = 2048) -> None:
+    def show(self, keys: np.ndarray, vectors: np.ndarray, step: int = 4096, width: int = 1024) -> None:
         for at in range(0, len(keys), step):
             some, names = unit(vectors[at : at + step].astype(np.float64)), keys[at : at + step]
             single = some.astype(np.float32).T
@@ -117,7 +117,7 @@ class Best:
                 if len(q):
                     self._keep(low + q, names[v], self._exact(low + q, some, v))
 
-    def _exact(self, q: np.ndarray, vectors: np.ndarray, v: np.ndarray, most: int = 8192) -> np.ndarray:
+    def _exact(self, q: np.ndarray, vectors: np.ndarray, v: np.ndarray, most: int = 1024) -> np.ndarray:
         out = np.empty(len(q))
         for i in range(0, len(q), most):
             some = slice(i, i + most)

@@ -148,6 +148,20 @@ def test_dense_search_screens_exactly(k):
     assert got == want and best.unit.dtype == np.float32  # before, all products were doubles, sorted in whole
 
 
+def test_dense_search_memory_is_bounded():
+    """Two tasks of an executor share 1.2 GB with the embedder's workers; before, a block took 128 MB beside its queries."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    best = dense.Best(rng.normal(size=(4096, 512)).astype(np.float32), 20)
+    keys, vectors = np.array([f"k{i}" for i in range(4096)], object), rng.normal(size=(4096, 512)).astype(np.float32)
+    tracemalloc.start()
+    best.show(keys, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
 def test_cosine_pairs_of_blocks_agree(spark, monkeypatch):
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(50)], "id int, v array<float>").repartition(3)
