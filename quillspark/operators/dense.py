@@ -6,7 +6,6 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_normalize, py_tokenize
+from ..functions.text import py_normalize, words_in
 from .sparse import top_k
 
 DIMENSION = 512
@@ -24,25 +23,58 @@ QUERY_BLOCK, QUERY_BLOCKS = 8192, 32
 PAIR_BLOCK = 16_384
 
 
-@lru_cache(maxsize=300_000)
-def _hash(feature: str) -> int:
-    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+class _Hashes(dict):
+    """The hash of a feature as a signed 64-bit number; the first ones met, and so the frequent ones, are kept."""
 
+    def __init__(self, name) -> None:
+        super().__init__()
+        self.name = name
 
-def hash_vector(text: str | None, dimension: int = DIMENSION) -> np.ndarray:
-    """Signed feature hashing of words, bigrams and character 4-grams; zeros without words."""
-    vector = np.zeros(dimension, np.float32)
-    words = py_tokenize(text)
-    if not words:
-        return vector
-    flat = py_normalize(text)
-    weighted = [(f"w:{w}", (1 + math.log(n)) * (1 + 0.1 * min(len(w), 12))) for w, n in Counter(words).items()]
-    weighted += [(f"b:{a}_{b}", 1.4) for a, b in zip(words, words[1:], strict=False)]
-    weighted += [(f"c:{flat[i : i + 4]}", 0.35) for i in range(len(flat) - 3)]
-    hashed = np.fromiter((_hash(f) for f, _ in weighted), np.uint64)
-    sign = np.where(hashed >> np.uint64(63), 1.0, -1.0)
-    np.add.at(vector, (hashed % np.uint64(dimension)).astype(np.int64), (sign * [w for _, w in weighted]).astype(np.float32))
-    return vector
+    def __missing__(self, feature) -> int:
+        h = int.from_bytes(hashlib.blake2b(self.name(feature).encode(), digest_size=8).digest(), "big", signed=True)
+        if len(self) < 300_000:
+            self[feature] = h
+        return h
+
+
+_WORDS, _PAIRS, _GRAMS = _Hashes("w:{}".format), _Hashes(lambda p: f"b:{p[0]}_{p[1]}"), _Hashes("c:{}".format)
+
+
+def hash_matrix(texts: list[str | None], dimension: int = DIMENSION, most: int = 200_000) -> np.ndarray:
+    """Signed feature hashing of words, bigrams and character 4-grams, a row a text; zeros without words.
+
+    The features of many texts are added up at once, about ``most`` of them.
+    """
+    out = np.zeros((len(texts), dimension), np.float32)
+    hashes, weights, rows, sizes = [], [], [], []
+
+    def add() -> None:
+        hashed = np.fromiter(hashes, np.int64, len(hashes))
+        weight = np.fromiter(weights, np.float32, len(weights))
+        cell = (hashed.view(np.uint64) % np.uint64(dimension)).astype(np.int64) + np.repeat(np.array(rows, np.int64) * dimension, sizes)
+        np.add.at(out.reshape(-1), cell, np.where(hashed < 0, weight, -weight))
+        for x in (hashes, weights, rows, sizes):
+            x.clear()
+
+    for row, text in enumerate(texts):
+        flat = py_normalize(text) if text else ""
+        words = words_in(flat)
+        if not words:
+            continue
+        counts, before = Counter(words), len(hashes)
+        hashes.extend(map(_WORDS.__getitem__, counts))
+        weights.extend([(1 + math.log(n)) * (1 + 0.1 * min(len(w), 12)) for w, n in counts.items()])
+        hashes.extend(map(_PAIRS.__getitem__, zip(words, words[1:], strict=False)))
+        weights.extend([1.4] * (len(words) - 1))
+        hashes.extend(map(_GRAMS.__getitem__, [flat[i : i + 4] for i in range(len(flat) - 3)]))
+        weights.extend([0.35] * (len(flat) - 3))
+        rows.append(row)
+        sizes.append(len(hashes) - before)
+        if len(hashes) >= most:
+            add()
+    if hashes:
+        add()
+    return out
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -66,7 +98,7 @@ class HashingEmbedder:
     def embed(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros((0, self.dimension), np.float32)
-        matrix = np.vstack([hash_vector(t, self.dimension) for t in texts])
+        matrix = hash_matrix(texts, self.dimension)
         return unit(matrix).astype(np.float32) if self.normalise else matrix
 
 
@@ -75,12 +107,16 @@ def embed_texts(df: DataFrame, key: str, text: Column, embedder=None) -> DataFra
     embedder = embedder or HashingEmbedder()
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"k": pdf["k"], "vec": list(embedder.embed(pdf["t"].tolist()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                matrix = np.asarray(embedder.embed(some.column(1).to_pylist()), np.float32)
+                ends = pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, pa.array(matrix.ravel()))], ["k", "vec"])
 
     rows = df.select(F.col(key).alias("k"), text.alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, vec array<float>").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, vec array<float>").withColumnRenamed("k", key)
 
 
 def l2_normalize(vec: Column) -> Column:
@@ -241,6 +277,7 @@ def cosine_top_k(
     schema = f"q {qkind}, k {kind}, score double"
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], f"{qid} {qkind}, {key} {kind}, score double, rank int")
+    asked = asked.persist()  # embedded once, not again for each block
     n = asked.count()
     if n <= block * QUERY_BLOCKS:
         blocks, out = max(1, -(-n // block)), None
@@ -252,6 +289,7 @@ def cosine_top_k(
             out = vectors.sparkSession.createDataFrame([], schema)
     else:
         out = _block_pairs(rows, asked, rows.count(), n, k, schema, min(block, PAIR_BLOCK))
+    asked.unpersist()  # blocks are collected by now, pairs ask again
     return top_k(out.select(F.col("q").alias(qid), F.col("k").alias(key), "score"), k, qid, key)
 
 

@@ -31,8 +31,8 @@ def term_weights(questions: DataFrame, index: SparseIndex | None, terms: Column
     )
 
 
-def lexical_score(weights: Column, total: Column, query_norm: Column, body: Column, section: Column, text: Column) -> Column:
-    """Coverage, density and heading hits in [0, 1], with a bonus for the whole phrase."""
+def lexical_score(weights: Column, total: Column, query_norm: Column, body: Column, section: Column, text_norm: Column) -> Column:
+    """Coverage, density and heading hits in [0, 1], with a bonus for the whole phrase. Query and text are normalized."""
     got = lambda tokens: F.aggregate(
         F.filter(F.map_keys(weights), lambda t: F.array_contains(tokens, t)), F.lit(0.0), lambda a, t: a + weights[t]
     )
@@ -40,22 +40,23 @@ def lexical_score(weights: Column, total: Column, query_norm: Column, body: Colu
     matches = F.aggregate(body, F.lit(0.0), lambda a, t: a + F.coalesce(weights[t], F.lit(0.0)))
     density = matches / (total * F.sqrt(F.size(body)))
     score = 0.60 * coverage + 0.25 * F.least(density, F.lit(1.0)) + 0.15 * got(section) / total
-    phrase = query_norm.contains(" ") & normalize(text).contains(query_norm)
+    phrase = query_norm.contains(" ") & text_norm.contains(query_norm)
     score = F.least(score + F.when(phrase, PHRASE_BONUS).otherwise(0.0), F.lit(1.0))
     return F.when((F.coalesce(total, F.lit(0.0)) <= 0) | (F.size(body) == 0), 0.0).otherwise(score)
 
 
 def lexical_rerank(candidates: DataFrame, questions: DataFrame, index: SparseIndex | None) -> DataFrame:
-    """``candidates`` (qid, chunk_id, section, text, ...) with ``rerank_score``. Tokens are taken once per chunk."""
+    """``candidates`` (qid, chunk_id, section, text, ...) with ``rerank_score``. A chunk's tokens are taken, and its text normalized, once."""
     weights = term_weights(questions, index).join(questions.select("qid", normalize(F.col("question")).alias("_norm")), "qid")
     tokens = candidates.select("chunk_id", "text", "section").dropDuplicates(["chunk_id"]).select(
         "chunk_id",
         lexical_tokens(F.coalesce("text", F.lit(""))).alias("_body"),
         lexical_tokens(F.coalesce("section", F.lit(""))).alias("_section"),
+        normalize(F.coalesce(F.col("text"), F.lit(""))).alias("_text"),
     )
     joined = candidates.join(tokens, "chunk_id").join(weights, "qid", "left")
-    score = lexical_score(F.col("weights"), F.col("total_weight"), F.col("_norm"), F.col("_body"), F.col("_section"), F.coalesce("text", F.lit("")))
-    return joined.withColumn("rerank_score", score).drop("_body", "_section", "_norm", "weights", "total_weight", "known_weight")
+    score = lexical_score(F.col("weights"), F.col("total_weight"), F.col("_norm"), F.col("_body"), F.col("_section"), F.col("_text"))
+    return joined.withColumn("rerank_score", score).drop("_body", "_section", "_text", "_norm", "weights", "total_weight", "known_weight")
 
 
 def take_top(scored: DataFrame, n: int = TOP_N, score: str = "rerank_score") -> DataFrame:

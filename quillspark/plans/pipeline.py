@@ -70,8 +70,9 @@ def retrieve(corpus: Corpus, questions: DataFrame, config: dict | None = None, d
     asked = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "")
     allowed = fusion.scope(corpus.chunks, doc_ids) if doc_ids is not None else None
     lexical = sparse.search(corpus.index, asked, r["lexical_k"], allowed)
-    qvecs = dense.embed_texts(asked, "qid", F.col("question"), corpus.embedder)
-    near = dense.cosine_top_k(corpus.vectors, qvecs, r["dense_k"], allowed=allowed)
+    qvecs = dense.embed_texts(asked.select("question").distinct(), "question", F.col("question"), corpus.embedder)  # equal questions once
+    near = dense.cosine_top_k(corpus.vectors, qvecs, r["dense_k"], qid="question", allowed=allowed)
+    near = asked.select("qid", "question").join(near, "question").drop("question")
     return fusion.hydrate(fusion.fuse(near, lexical, r["fusion"], r["candidates"], r["rrf_k"]), corpus.chunks)
 
 

@@ -122,6 +122,42 @@ def test_bm25_index_counts_terms_where_the_record_is(spark, chunks, index):
     assert {k: sum(v.values()) for k, v in terms.items()} == {r.chunk_id: r.dl for r in index.lengths.collect()}
 
 
+def test_questions_are_embedded_once(spark, index, chunks, tmp_path):
+    """Before, every block of questions embedded all questions again, and equal questions each for itself."""
+
+    class Logged(dense.HashingEmbedder):
+        def embed(self, texts):
+            with open(tmp_path / "log", "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return super().embed(texts)
+
+    q = ask(spark, "dispute fee", "429 Retry-After", "colours teal", "payouts friday", "dispute fee")
+    got = dense.cosine_top_k(dense.embed_texts(chunks, "chunk_id", F.col("text")), dense.embed_texts(q, "qid", F.col("question"), Logged()), 2, block=2)
+    assert got.count() == 10
+    assert len((tmp_path / "log").read_text().split("\n")) - 1 == 5
+    (tmp_path / "log").unlink()
+    corpus = pipeline.Corpus(chunks, index, dense.embed_texts(chunks, "chunk_id", F.col("text")), Logged())
+    found = pipeline.retrieve(corpus, q).collect()
+    mine = lambda qid: sorted((r.chunk_id, r.fused_rank, r.dense_rank) for r in found if r.qid == qid)
+    assert mine("q0") == mine("q4") != []
+    assert len((tmp_path / "log").read_text().split("\n")) - 1 == 4
+
+
+def test_hash_vectors_of_many_texts_add_up_in_order():
+    """A text's vector is what its features give one by one, whatever texts are added up with it."""
+    texts = ["The dispute fee is 15.00 per case, the fee.", None, "x", "Gr\u00fc\u00dfe \u65e5\u672c\u8a9e caf\u00e9 caf\u00e9 429", " ", "a-b a-b a-b"]
+    whole = dense.hash_matrix(texts, 64)
+    assert (whole == np.vstack([dense.hash_matrix([t], 64) for t in texts])).all() and (whole == dense.hash_matrix(texts, 64, most=1)).all()
+    want = np.zeros(64, np.float32)
+    flat, words = T.py_normalize(texts[0]), T.py_tokenize(texts[0])
+    features = [(f"w:{w}", (1 + math.log(words.count(w))) * (1 + 0.1 * min(len(w), 12))) for w in dict.fromkeys(words)]
+    features += [(f"b:{a}_{b}", 1.4) for a, b in zip(words, words[1:], strict=False)] + [(f"c:{flat[i : i + 4]}", 0.35) for i in range(len(flat) - 3)]
+    for f, w in features:
+        h = int.from_bytes(dense.hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+        want[h % 64] += np.float32(w if h >> 63 else -w)
+    assert (whole[0] == want).all()
+
+
 def test_bm25_same_terms_are_scored_once(spark, index):
     q = ask(spark, "dispute fee", "the fee, disputes", "payouts", None, "of")
     found = sparse.search(index, q, 3)
